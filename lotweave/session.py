@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +45,25 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("lotweave.local.folder")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, so that they need no copy of it installed; once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lotweave_shipped", False):
+        return
+    package, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    root = f"{shared_folder(spark).rstrip('/')}/lotweave-{uuid.uuid4().hex}"
+    Scratch._mine.append((spark, root))
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/lotweave.zip")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(f"{root}/lotweave.zip")
+    sc._lotweave_shipped = True
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage, so that a lost executor costs no recomputation.
 
