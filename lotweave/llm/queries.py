@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotweave.llm import mixing, repetition, splits, tokens
+from lotweave.llm import mixing, neardup, places, repetition, splits, tokens
 from lotweave.session import Scratch
 from lotweave.sources.tables import table
 
@@ -21,6 +21,32 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(rows, splits.related_groups(rows, scratch), scratch)
 
 
+def _places(spark: SparkSession, folder: str) -> DataFrame:
+    records = places.all_records(table(spark, folder, "boston_assessment"), table(spark, folder, "listings"))
+    return places.place_of(records, Scratch(spark))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return places.same_place_pairs(_places(spark, folder))
+
+
+def p6_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every record, and how many records name it."""
+    found = _places(spark, folder)
+    return found.join(found.groupBy("place").agg(F.count("*").alias("records")), "place").select("id", "place", "records")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "listings").select("listing_id", "description")
+    return neardup.NearDuplicates(rows, Scratch(spark), "listing_id", "description", length=3, least=0.6).pairs()
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for the texts of documents, in runs of five words at 0.8, counting repeated runs: a class and a number of links each."""
+    rows = table(spark, folder, "documents").select("doc_id", "text")
+    return neardup.NearDuplicates(rows, Scratch(spark), "doc_id", "text", counted=True).groups()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_table(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -46,7 +72,7 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.report(table(spark, folder, "documents"), Scratch(spark))
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p8_ids": p8_ids, "p9_found": p9_found, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p6_found": p6_found, "p6_places": p6_places, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_report": p10_report}
 
 SQL: dict[str, str] = {}
 SQL["p1_found"] = """
@@ -69,3 +95,10 @@ with w as (select doc_id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}
 r as (select doc_id, list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) as r from w where len(w) >= 5)
 select doc_id from r where 1 - len(list_distinct(r)) / len(r) >= 0.3
 """
+SQL["p7_found"] = """
+with w as (select listing_id as id, list_transform(regexp_extract_all(description, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as w from listings where listing_id is not null),
+t as (select id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as t from w where len(w) >= 3),
+e as (select id, len(t) as n, unnest(t) as t from t),
+both_ as (select a.id as id_a, b.id as id_b, count(*) as k, any_value(a.n) as n, any_value(b.n) as m from e a join e b on a.t = b.t and a.id < b.id group by 1, 2)
+select id_a, id_b from both_ where k / (n + m - k) >= 0.6
+"""
