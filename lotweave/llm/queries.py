@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotweave.llm import mixing, neardup, places, repetition, splits, tokens
+from lotweave.llm import mixing, neardup, pii, places, repetition, splits, tokens
 from lotweave.session import Scratch
 from lotweave.sources.tables import table
 
@@ -21,6 +21,18 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(rows, splits.related_groups(rows, scratch), scratch)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    tagger = pii.tagger_for(table(spark, folder, "given_names"))
+    found = pii.find(table(spark, folder, "listings").where("listing_id is not null"), tagger, "listing_id", "description")
+    return found.select("listing_id", "kind", "found").distinct()
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """listing_id, and the description with placeholders."""
+    tagger = pii.tagger_for(table(spark, folder, "given_names"))
+    return pii.redact(table(spark, folder, "listings").select("listing_id", "description"), tagger, "description").drop("description")
+
+
 def _places(spark: SparkSession, folder: str) -> DataFrame:
     records = places.all_records(table(spark, folder, "boston_assessment"), table(spark, folder, "listings"))
     return places.place_of(records, Scratch(spark))
@@ -72,7 +84,7 @@ def p10_report(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.report(table(spark, folder, "documents"), Scratch(spark))
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p6_found": p6_found, "p6_places": p6_places, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_report": p10_report}
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_places": p6_places, "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p9_found": p9_found, "p9_mixed": p9_mixed, "p9_shares": p9_shares, "p10_found": p10_found, "p10_report": p10_report}
 
 SQL: dict[str, str] = {}
 SQL["p1_found"] = """
