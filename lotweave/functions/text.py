@@ -135,7 +135,8 @@ def word_class(w: Column) -> Column:
 
 def vocabulary(c: Column) -> Column:
     """Distinct words of three letters or more, lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\b([a-z]{3,})\b"), F.lit(1)))
+    runs = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.array_distinct(F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$")))
 
 
 def style(c: Column, function_words: list[str]) -> Column:
@@ -156,7 +157,11 @@ def style(c: Column, function_words: list[str]) -> Column:
         "flesch_reading_ease": 206.835 - 1.015 * n / sents - 84.6 * syllables / n, "flesch_kincaid_grade": 0.39 * n / sents + 11.8 * syllables / n - 15.59,
         "automated_readability": 4.71 * letters / n + 0.5 * n / sents - 21.43, "coleman_liau": 5.88 * letters / n - 29.6 * sents / n - 15.8,
     }
-    fields |= {f"fw_{w}": F.size(F.filter(low, lambda x, w=w: x == w)) / n for w in function_words}
+
+    def share(word: str) -> Column:
+        return F.size(F.filter(low, lambda x: x == word)) / n
+
+    fields |= {f"fw_{w}": share(w) for w in function_words}
     return F.when(F.size(words) > 0, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
