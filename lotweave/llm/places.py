@@ -63,7 +63,8 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 def _alike(streets: DataFrame, times: int) -> DataFrame:
     keyed = streets.where(F.length("name") >= LEAST_LENGTH).select("city", "zip", "name", "n", F.explode(_without(F.col("name"), times)).alias("key"))
     other = keyed.select("city", "zip", "key", F.col("name").alias("other"), F.col("n").alias("m"))
-    return keyed.join(other, ["city", "zip", "key"]).where("name < other").select("city", "zip", "name", "other", "n", "m").distinct()
+    # sizes are guessed before the letters are dropped, so a broadcast could be a hundred times as large as planned
+    return keyed.join(other.hint("merge"), ["city", "zip", "key"]).where("name < other").select("city", "zip", "name", "other", "n", "m").distinct()
 
 
 def same_streets(streets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -93,7 +94,7 @@ def find_zips(lost: DataFrame, streets: DataFrame) -> DataFrame:
     """
     near = lost.select("city", "name", F.explode(_without(F.col("name"), 1)).alias("key"))
     known = streets.select("city", F.col("name").alias("other"), "zip", "root", F.explode(_without(F.col("name"), 1)).alias("key"))
-    pairs = near.join(known, ["city", "key"]).select("city", "name", "other", "zip", "root").distinct()
+    pairs = near.join(known.hint("merge"), ["city", "key"]).select("city", "name", "other", "zip", "root").distinct()
     pairs = pairs.withColumn("d", F.when(F.col("name") == F.col("other"), 0).otherwise(_distance("name", "other"))).where(f"d = 0 or length(name) >= {LEAST_LENGTH}")
     best = pairs.groupBy("city", "name").agg(F.min("d").alias("d")).join(pairs, ["city", "name", "d"])
     where = best.groupBy("city", "name").agg(F.count_distinct("zip").alias("zips"), F.min("zip").alias("zip"), F.min("root").alias("root"))
