@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -106,5 +107,6 @@ def _clear() -> None:
     for spark, path in Scratch._mine:
         try:
             _delete(spark, path)
-        except Exception:  # the session has ended; the shared folder's own cleaning remains
-            return
+        except Exception:  # the session has ended; a shared folder has its own cleaning
+            if path.startswith(f"file://{tempfile.gettempdir()}/lotweave-"):
+                shutil.rmtree(Path(path.removeprefix("file://")).parent, ignore_errors=True)
