@@ -99,10 +99,29 @@ def shingles(text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h.view(np.int64), return_counts=True)
 
 
-def sign(df: DataFrame, id_col: str, text_col: str, length: int, bands: int, rows: int, counted: bool, batch: int = 256) -> DataFrame:
+#: Texts signed together, and runs of words in them, at most (a text with more runs is signed alone).
+TOGETHER, MOST_RUNS = 256, 100_000
+
+
+def _bags(ids: list, texts: list, length: int, counted: bool) -> Iterator[list[tuple]]:
+    """Lists of (id, hashes, counts) of the texts that have any."""
+    out, size = [], 0
+    for i, t in zip(ids, texts):
+        e, c = shingles(t or "", length)
+        if len(e):
+            if out and (len(out) == TOGETHER or size + len(e) > MOST_RUNS):
+                yield out
+                out, size = [], 0
+            out.append((i, e, c if counted else np.ones_like(c)))
+            size += len(e)
+    if out:
+        yield out
+
+
+def sign(df: DataFrame, id_col: str, text_col: str, length: int, bands: int, rows: int, counted: bool) -> DataFrame:
     """(id, same, shingles, counts, bands): ``same`` is a hash of all shingles and counts, equal for equal bags.
 
-    Texts without a run of ``length`` words are left out. ``batch`` texts are signed together, to bound the memory.
+    Texts without a run of ``length`` words are left out.
     """
     schema = "id bigint, same string, shingles array<bigint>, counts array<int>, bands array<bigint>"
     size = bands * rows
@@ -111,12 +130,7 @@ def sign(df: DataFrame, id_col: str, text_col: str, length: int, bands: int, row
         import xxhash
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(ids), batch):
-                bags = [(i, *shingles(t or "", length)) for i, t in zip(ids[lo : lo + batch], texts[lo : lo + batch])]
-                bags = [(i, e, c if counted else np.ones_like(c)) for i, e, c in bags if len(e)]
-                if not bags:
-                    continue
+            for bags in _bags(b.column(0).to_pylist(), b.column(1).to_pylist(), length, counted):
                 lens = np.array([len(e) for _, e, _ in bags])
                 element, count = np.concatenate([e for _, e, _ in bags]), np.concatenate([c for _, _, c in bags])
                 sig = bag_signatures(np.repeat(np.arange(len(bags)), lens), element.view(np.uint64), count, len(bags), size)

@@ -168,7 +168,9 @@ def checked(text: str, lo: int, hi: int, kind: str) -> tuple[int, int] | None:
     if kind == "phone":
         if item.startswith("(") and ")" not in item:
             lo, item = lo + 1, item[1:]
-        if more := re.match(r"(?i)\.?\s*\d{1,5}\b", text[hi:]) if re.search(r"(?i)\b(?:ext|x|extension)$", item) else None:
+        # an extension belongs to the number, whole or begun
+        begun = re.search(r"(?i)(?<![^\W\d_])(?:ext|x|extension)$", item)
+        if more := re.match(r"(?i)\.?\s*\d{1,5}\b" if begun else r"(?i),?\s*(?:ext\.?|extension|x)\s*\d{1,5}\b", text[hi:]):
             hi += more.end()
         hi = lo + len(re.sub(r"(?i)\s*\b(?:ext|x|extension)$", "", text[lo:hi]))
         return (lo, hi) if digits >= 7 else None
