@@ -10,11 +10,6 @@ import numpy as np
 REACH = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
-
-
 @dataclass
 class Chain:
     """weights: (features x reach x labels) of a token's features and where it stands; steps: (labels x labels) from one label to the next."""
@@ -71,6 +66,40 @@ class Chain:
         return out
 
 
+def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows summed by number."""
+    wide = rows.shape[1]
+    return np.bincount((at[:, None] * wide + np.arange(wide)).ravel(), rows.ravel(), n * wide).reshape(n, wide)
+
+
+def _gaps(e: np.ndarray, first: np.ndarray, steps: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of the log-likelihood of labels y by emissions e (both: places first, then texts) and by steps.
+
+    Forward and backward passes in probabilities, scaled at each place, all texts side by side.
+    """
+    size, many, m = e.shape
+    p = np.exp(e - e.max(axis=2, keepdims=True))
+    p[0] *= np.exp(first)
+    way = np.exp(steps.astype(np.float64))
+    fore, back, scale = np.zeros_like(p), np.ones_like(p), np.ones((size, many, 1))
+    for t in range(size):
+        a = p[0] if t == 0 else (fore[t - 1] @ way) * p[t]
+        scale[t] = np.where(live[t][:, None], a.sum(axis=1, keepdims=True), 1.0)
+        fore[t] = np.where(live[t][:, None], a / scale[t], fore[t - 1] if t else a)
+    for t in range(size - 2, -1, -1):
+        b = (p[t + 1] * back[t + 1] / scale[t + 1]) @ way.T
+        back[t] = np.where(live[t + 1][:, None], b, 1.0)
+    own = fore * back
+    miss = -own / own.sum(axis=2, keepdims=True)
+    places, texts = np.ogrid[:size, :many]
+    miss[places, texts, y] += 1
+    miss *= live[:, :, None]
+    later = p[1:] * back[1:] / scale[1:] * live[1:, :, None]
+    expected = way * (fore[:-1].reshape(-1, m).T @ later.reshape(-1, m))
+    seen = np.bincount((y[:-1] * m + y[1:])[live[1:]], minlength=m * m).reshape(m, m)
+    return miss, seen - expected
+
+
 def train(tokens: np.ndarray, lengths: np.ndarray, labels: np.ndarray, features: list[list[int]], n_features: int, n_labels: int, passes: int = 20, batch: int = 64, rate: float = 0.15, shrink: float = 3e-5, seed: int = 1) -> Chain:
     """The chain that makes the given labels likely: stochastic gradient ascent of the log-likelihood, with AdaGrad's rates and weight decay.
 
@@ -94,46 +123,21 @@ def train(tokens: np.ndarray, lengths: np.ndarray, labels: np.ndarray, features:
             if used[-1] != none:
                 used = np.append(used, none)
             scores = chain.scores_of([features[u] for u in used[:-1]])
-            e = chain.emissions(x, scores).astype(np.float64)
-            rows, live = np.arange(len(pick)), np.arange(size)[None, :] < n[:, None]
-            alpha = np.zeros((size, len(pick), n_labels))
-            alpha[0] = chain.first + e[:, 0]
-            for t in range(1, size):
-                a = _logsum(alpha[t - 1][:, :, None] + chain.steps, 1) + e[:, t]
-                alpha[t] = np.where(live[:, t][:, None], a, alpha[t - 1])
-            beta = np.zeros((size, len(pick), n_labels))
-            for t in range(size - 2, -1, -1):
-                b = _logsum(chain.steps + (e[:, t + 1] + beta[t + 1])[:, None, :], 2)
-                beta[t] = np.where(live[:, t + 1][:, None], b, 0.0)
-            whole = _logsum(alpha[-1], 1)
-            p = np.exp(alpha + beta - whole[None, :, None]).transpose(1, 0, 2)
-            miss = -p
-            miss[rows[:, None], np.arange(size)[None, :], y] += 1
-            miss *= live[:, :, None]
-            g_first = miss[:, 0].sum(axis=0)
-            g_steps = np.zeros_like(chain.steps, dtype=np.float64)
-            for t in range(1, size):
-                on = live[:, t]
-                if on.any():
-                    pair = alpha[t - 1][on][:, :, None] + chain.steps + (e[on, t] + beta[t][on])[:, None, :] - whole[on][:, None, None]
-                    g_steps -= np.exp(pair).sum(axis=0)
-                    np.add.at(g_steps, (y[on, t - 1], y[on, t]), 1.0)
+            e = chain.emissions(x, scores).astype(np.float64).transpose(1, 0, 2)
+            live = np.arange(size)[:, None] < n[None, :]
+            miss, g_steps = _gaps(e, chain.first, chain.steps, y.T, live)
+            g_first = miss[0].sum(axis=0)
+            miss, x = miss.reshape(size, -1, n_labels), x.T
             by_token = np.zeros((len(used), len(REACH), n_labels))
             for k, o in enumerate(REACH):
-                if o < 0:
-                    src, err = x[:, :o], miss[:, -o:]
-                elif o == 0:
-                    src, err = x, miss
-                else:
-                    src, err = x[:, o:], miss[:, :-o]
-                np.add.at(by_token[:, k], src.ravel(), err.reshape(-1, n_labels))
+                src, err = (x[:o], miss[-o:]) if o < 0 else (x, miss) if o == 0 else (x[o:], miss[:-o])
+                by_token[:, k] = _sum_rows(src.ravel(), err.reshape(-1, n_labels), len(used))
             place = np.full(none + 1, -1)
             place[used] = np.arange(len(used))
             mine = place[holder] >= 0
             f, at = flat[mine], place[holder[mine]]
             mine_used, inverse = np.unique(f, return_inverse=True)
-            g = np.zeros((len(mine_used), len(REACH), n_labels))
-            np.add.at(g, inverse, by_token[at])
+            g = _sum_rows(inverse, by_token[at].reshape(len(at), -1), len(mine_used)).reshape(-1, len(REACH), n_labels)
             g = g / len(pick) - shrink * chain.weights[mine_used]
             seen[0][mine_used] += (g**2).astype(np.float32)
             chain.weights[mine_used] += (rate * g / np.sqrt(seen[0][mine_used])).astype(np.float32)

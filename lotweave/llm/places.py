@@ -16,8 +16,8 @@ from lotweave.session import Scratch
 
 #: Names shorter than this are never taken for misspelt ones.
 LEAST_LENGTH = 6
-#: Two spellings that each occur so often are two streets.
-ESTABLISHED = 5
+#: Two spellings that each occur so often, the rarer at least a fifth as often as the other, are two streets.
+ESTABLISHED, FIFTH = 5, 5
 
 
 def parse_records(records: DataFrame, locale: Locale | None = None) -> DataFrame:
@@ -70,17 +70,23 @@ def _alike(streets: DataFrame, times: int) -> DataFrame:
 def same_streets(streets: DataFrame, scratch: Scratch) -> DataFrame:
     """(city, zip, name, root) of streets(city, zip, name, n): spellings of one street in one zip share a root.
 
-    Two spellings are one street's if they are one edit apart, unless both are established; or two edits apart if
-    both are rare (each may be one edit from a spelling that no record has). Candidates share what is left
-    after dropping letters, so no two names of a zip are compared without need.
+    A spelling joins the most frequent one a single edit away, if that is more frequent (of equals, the first by letters)
+    and the two aren't both established. Rare spellings that join none, since no record has the right one, join each other
+    if they are two edits apart. Candidates share what is left after dropping letters, so no two names of a zip are
+    compared without need; and as each spelling joins one other, slips of two streets don't tie the streets together.
     """
-    one = _alike(streets, 1).withColumn("d", _distance("name", "other")).where(f"d <= 1 and not (n >= {ESTABLISHED} and m >= {ESTABLISHED})")
-    two = _alike(streets.where("n <= 2 and length(name) >= 8"), 2).withColumn("d", _distance("name", "other")).where("d <= 2")
+    ahead = F.struct((-F.col("m")).alias("m"), F.col("other"))
+    one = _alike(streets, 1).withColumn("d", _distance("name", "other")).where("d <= 1").select("city", "zip", "name", "other", "n", "m")
+    both = one.unionAll(one.select("city", "zip", F.col("other").alias("name"), F.col("name").alias("other"), F.col("m").alias("n"), F.col("n").alias("m")))
+    both = both.where(f"(m > n or (m = n and other < name)) and not (n >= {ESTABLISHED} and n * {FIFTH} >= m)")
+    joined = scratch.cut(both.groupBy("city", "zip", "name").agg(F.min_by("other", ahead).alias("other")))
+    alone = scratch.cut(streets.where("n <= 2 and length(name) >= 8").join(joined.select("city", "zip", "name"), ["city", "zip", "name"], "left_anti"))
+    two = _alike(alone, 2).withColumn("d", _distance("name", "other")).where("d <= 2").select("city", "zip", "name", "other")
 
     def node(c: str) -> Column:
         return F.concat_ws("\u0001", "city", "zip", c)
 
-    edges = one.unionAll(two).select(node("name").alias("u"), node("other").alias("v"))
+    edges = joined.unionAll(two).select(node("name").alias("u"), node("other").alias("v"))
     roots = scratch.cut(connected_components(edges, scratch)).select(F.col("node").alias("_n"), "root")
     named = streets.withColumn("_n", node("name")).join(roots, "_n", "left")
     return named.select("city", "zip", "name", F.coalesce("root", "_n").alias("root"))
