@@ -698,16 +698,6 @@ def cluster_information(spark, folder):
     return au.cluster_label_nmi(_analysis(spark, folder), 20, 1)
 
 
-def _small(spark: SparkSession, folder: str) -> DataFrame:
-    """The analysis table of the boosted learners: they take a city's rows in one task, so a study has a bounded number of rows by design.
-
-    The table of listings with embeddings may have more; then each hash part of it, of a city, is a study of its own ("city/part").
-    """
-    rows = _analysis(spark, folder)
-    n = rows.groupBy("city").agg(F.greatest(F.ceil(F.count("*") / 2000), F.lit(1)).alias("_parts"))
-    return rows.join(n, "city").withColumn("city", F.when(F.col("_parts") == 1, F.col("city")).otherwise(F.concat_ws("/", "city", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("string")))).drop("_parts")
-
-
 for _name, _f in {
     "boosted_effect": lambda d: au.partial_linear_by_city(d, 30, 3),
     "doubly_robust_boosted": lambda d: au.doubly_robust_by_city(d, 30, 3, 200),
@@ -723,7 +713,7 @@ for _name, _f in {
 }.items():
 
     def _run(spark, folder, f=_f):
-        return f(_small(spark, folder))
+        return f(_analysis(spark, folder))
 
     _run.__name__ = _name
     query()(_run)
