@@ -709,7 +709,7 @@ for _name, _f in {
     "confounder_escalation": lambda d: au.escalation(d, ["lat", "lon", "year_built", "bldg_area_sqft", "lot_area_sqft", "bedrooms"]),
     "label_accuracy": lambda d: au.label_accuracy(d),
     "deconfounded_probe": lambda d: au.deconfounded(d, 30),
-    "spatial_rank_correlation": lambda d: au.spatial_rank_correlation(d, 400),
+    "spatial_rank_correlation": lambda d: au.spatial_rank_correlation(d),
 }.items():
 
     def _run(spark, folder, f=_f):

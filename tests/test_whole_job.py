@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lotweave.operators import audit as au
 from lotweave.plans import reference
 
 
@@ -23,3 +24,24 @@ def test_a_large_city_is_one_study(spark, tmp_path, name):
     got = reference.QUERIES[name](spark, str(tmp_path)).toPandas()
     assert set(got.city) == {"x"} and len(got) == (1 if name == "doubly_robust_boosted" else 7)
     assert "n" not in got or list(got.n) == [2300]
+
+
+def test_rank_correlation_takes_all_pairs(spark, tmp_path):
+    rows = study_tables(spark, tmp_path, 900)
+    got = reference.QUERIES["spatial_rank_correlation"](spark, str(tmp_path)).first()
+    t, g = np.vstack(rows["emb"]), rows[["latitude", "longitude"]].to_numpy()
+    u, (i, j) = t / np.linalg.norm(t, axis=1, keepdims=True), np.triu_indices(900, 1)
+    a, b = np.linalg.norm(g[i] - g[j], axis=1), 1 - (u @ u.T)[i, j]
+    assert got["pairs"] == 900 * 899 // 2
+    assert got["rho"] == pytest.approx(pd.Series(a).rank().corr(pd.Series(b).rank()), abs=1e-9)
+
+
+def test_rank_correlation_counts_ties(spark):
+    rows = [(i, "x", [float(i % 3), 1.0], float(i % 4), 0.0) for i in range(40)] + [(99, "y", [1.0], 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, city string, emb array<double>, lat double, lon double")
+    got = {r["city"]: r for r in au.spatial_rank_correlation(df).collect()}
+    d = pd.DataFrame(rows[:40], columns=["id", "city", "emb", "lat", "lon"])
+    parts = list(au.pair_distances(np.vstack(d["emb"]), d[["lat", "lon"]].to_numpy()))
+    a, b = (pd.Series(np.concatenate([p[k] for p in parts])) for k in range(2))
+    assert got["x"]["rho"] == pytest.approx(a.rank().corr(b.rank()), abs=1e-9) and got["x"]["pairs"] == 780
+    assert got["y"]["pairs"] == 0 and got["y"]["rho"] is None
