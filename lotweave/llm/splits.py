@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotweave.functions.text import zip5
 from lotweave.operators.components import tie_groups
 from lotweave.session import Scratch
 
@@ -13,13 +14,6 @@ from lotweave.session import Scratch
 BITSET_BITS = 1 << 24
 
 
-def zip5(c: Column) -> Column:
-    """The five-digit code of a zip however written (label, +4, decimals, lost zeros in front); null without one or for zeros."""
-    digits = F.regexp_extract(c, r"^[\s\p{Z}]*(?:[A-Za-z.]+[\s\p{Z}:#-]*)*(\d{1,9})(?:\.0*)?(?:[\s\p{Z}]*-[\s\p{Z}]*\d{4})?[\s\p{Z}]*$", 1)
-    code = F.when(F.length(digits) <= 5, F.lpad(digits, 5, "0")).otherwise(F.substring(F.lpad(digits, 9, "0"), 1, 5))
-    return F.when((digits != "") & (code != "00000"), code)
-
-
 def related_groups(df: DataFrame, scratch: Scratch, id_col: str = "emb_id", zip_col: str = "zip", parcel_col: str = "parcel_id") -> DataFrame:
     """(id, group): records with the same zip or the same parcel_id, directly or over other records, share a group.
 

@@ -673,13 +673,8 @@ def graph_paths(spark, folder):
 # ---- models, simulations and rewrites: no SQL, held against properties and brute force in the tests
 
 
-def _zip5(c):
-    code = F.regexp_extract(c, r"(\d{5})", 1)
-    return F.when(code != "", code)
-
-
 def _analysis(spark: SparkSession, folder: str) -> DataFrame:
-    return au.feature_rows(table(spark, folder, "listing_embeddings"), table(spark, folder, "parcels"), ["year_built", "bldg_area_sqft", "lot_area_sqft", "bedrooms"], _zip5)
+    return au.feature_rows(table(spark, folder, "listing_embeddings"), table(spark, folder, "parcels"), ["year_built", "bldg_area_sqft", "lot_area_sqft", "bedrooms"], tx.zip5)
 
 
 @query()

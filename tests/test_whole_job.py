@@ -45,3 +45,9 @@ def test_rank_correlation_counts_ties(spark):
     a, b = (pd.Series(np.concatenate([p[k] for p in parts])) for k in range(2))
     assert got["x"]["rho"] == pytest.approx(a.rank().corr(b.rank()), abs=1e-9) and got["x"]["pairs"] == 780
     assert got["y"]["pairs"] == 0 and got["y"]["rho"] is None
+
+
+def test_zips_that_lost_zeros_are_labels(spark, tmp_path):
+    study_tables(spark, tmp_path, 60, zips=("443", "00443-1234", "467.0"))
+    got = reference.QUERIES["label_accuracy"](spark, str(tmp_path)).first()
+    assert got["classes"] == 2 and got["majority"] == pytest.approx(2 / 3)
