@@ -51,3 +51,9 @@ def test_zips_that_lost_zeros_are_labels(spark, tmp_path):
     study_tables(spark, tmp_path, 60, zips=("443", "00443-1234", "467.0"))
     got = reference.QUERIES["label_accuracy"](spark, str(tmp_path)).first()
     assert got["classes"] == 2 and got["majority"] == pytest.approx(2 / 3)
+
+
+def test_many_labels_have_an_accuracy(spark, tmp_path):
+    study_tables(spark, tmp_path, 5 * 510, zips=[f"{10000 + i}" for i in range(510)])
+    got = reference.QUERIES["label_accuracy"](spark, str(tmp_path)).first()
+    assert got["classes"] == 510 and got["baseline"] == pytest.approx(1 / 510) and got["accuracy"] is not None and got["majority"] == pytest.approx(1 / 510)
