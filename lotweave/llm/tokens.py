@@ -1,4 +1,7 @@
-"""Exact byte-pair encoding by backtracking, and counting and decoding of tokens."""
+"""Exact byte-pair encoding by backtracking, and counting and decoding of tokens.
+
+The test of which tokens may stand side by side is the published one of backtracking encoders for byte pairs (as in rust-gems' bpe crate).
+"""
 
 from __future__ import annotations
 
@@ -12,8 +15,8 @@ from pyspark.sql import DataFrame
 
 #: How byte_bpe_50k cuts a text into pieces before merging; a fixed value of the public vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces kept with their ids in a worker; further ones are encoded anew each time.
-MEMO = 200_000
+#: Pieces kept with their ids in a worker, and their letters at most; others are encoded anew each time.
+MEMO, MEMO_LETTERS = 200_000, 64
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.tiktoken") -> bytes:
@@ -27,8 +30,8 @@ def vocabulary_file(name: str = "byte_bpe_50k.tiktoken") -> bytes:
 class BacktrackingEncoder:
     """Encodes pieces in time linear in their length.
 
-    The longest token at each place is found with an Aho-Corasick automaton; it stands if it may follow
-    the token before it, else a shorter one is tried, else the token before is taken back. Two tokens may stand side by side
+    The longest token at each place is found with an Aho-Corasick automaton, which sees no more of the piece than the longest
+    token there is; it stands if it may follow the token before it, else a shorter one is tried, else the token before is taken back. Two tokens may stand side by side
     if no merge of higher priority would join the end of one to the start of the other, which the table of pairs
     decides while both are split down to bytes. A place from which no way led on is never tried again.
     """
@@ -47,6 +50,7 @@ class BacktrackingEncoder:
         for i, t in enumerate(self.tokens):
             self.machine.add_word(t.decode("latin-1"), i)
         self.machine.make_automaton()
+        self.longest = max(map(len, self.tokens))
         self.memo: dict[str, array] = {}
         # offsets into all tokens' bytes, for decoding
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in self.tokens])))
@@ -99,9 +103,9 @@ class BacktrackingEncoder:
         if whole is not None:
             return [whole]
         text, end = piece.decode("latin-1"), len(piece)
-        longest, tokens, shorter, fits = self.machine.iter_long, self.tokens, self.shorter, self.side_by_side
+        longest, tokens, shorter, fits, reach = self.machine.iter_long, self.tokens, self.shorter, self.side_by_side, self.longest
         open_at, out, at = bytearray(b"\x01") * (end + 1), [], 0
-        token = next(longest(text))[1]
+        token = next(longest(text[:reach]))[1]
         while True:
             to = at + len(tokens[token])
             if open_at[to] and (not out or fits(out[-1], token)):
@@ -109,7 +113,7 @@ class BacktrackingEncoder:
                 at = to
                 if at == end:
                     return out
-                token = next(longest(text, at))[1]
+                token = next(longest(text[at : at + reach]))[1]
             elif (less := shorter[token]) >= 0:
                 token = less
             else:
@@ -123,7 +127,7 @@ class BacktrackingEncoder:
             ids = memo.get(piece)
             if ids is None:
                 ids = array("i", self.encode_piece(piece.encode()))
-                if len(memo) < MEMO:
+                if len(memo) < MEMO and len(piece) <= MEMO_LETTERS:
                     memo[piece] = ids
             out.extend(ids)
 
