@@ -99,5 +99,6 @@ def mix(documents: DataFrame, targets: DataFrame, scratch: Scratch, shards: int
     all_mixed = mixed.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_mixed"))
     report = plan.join(real, "source", "left").fillna(0, ["mixed_tokens"]).crossJoin(F.broadcast(all_mixed))  # one row
     report = report.withColumns({"real_share": F.try_divide("mixed_tokens", "all_mixed"), "repeats": F.try_divide("mixed_tokens", "own_tokens")}).drop("all_mixed")
-    shuffled = mixed.repartition(shards, "shard").withColumn("_o", F.xxhash64("doc_id", "copy", F.lit(seed))).sortWithinPartitions("shard", "_o").drop("_o")
+    # by range, so that a shard is as many tasks and files as its size asks for
+    shuffled = mixed.withColumn("_o", F.xxhash64("doc_id", "copy", F.lit(seed))).repartitionByRange("shard", "_o").sortWithinPartitions("shard", "_o").drop("_o")
     return shuffled, report

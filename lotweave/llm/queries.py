@@ -64,8 +64,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs = mixing.sized(table(spark, folder, "documents"), Scratch(spark))
-    return mixing.mixture(docs, table(spark, folder, "mix_targets")).where("capped").select("source")
+    """The capped sources in the report of the whole mixture."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), Scratch(spark))[1].where("capped").select("source")
 
 
 def p9_mixed(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +77,8 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition.measure(table(spark, folder, "documents").select("doc_id", "text")).where("repeated_share >= 0.3").select("doc_id")
+    """Documents inside the band of token entropy that a repeated share of 0.3 allows, and with that share by the exact measure."""
+    return repetition.repeated_shares(table(spark, folder, "documents").select("doc_id", "text")).where("repeated_share >= 0.3").select("doc_id")
 
 
 def p10_report(spark: SparkSession, folder: str) -> DataFrame:

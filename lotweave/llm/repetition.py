@@ -1,4 +1,4 @@
-"""Repetition inside one document, and how well public vocabularies fit it."""
+"""Repetition inside one document: token statistics by public vocabularies first, then the exact share of repeated runs of words."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.llm.tokens import encoder, vocabulary_file
-from lotweave.llm.words import distinct_runs, word_ids
+from lotweave.llm.tokens import MEMO, MEMO_LETTERS, encoder, vocabulary_file
+from lotweave.llm.words import distinct_runs, find_words, number_words, word_ids
 
 RUN = 5
 _pieces: dict[int, object] = {}
@@ -38,6 +38,77 @@ def script_of(text: str) -> str:
     return min(counts, key=lambda s: (-counts[s], s)).lower() if counts else "none"
 
 
+class TokenBand:
+    """Rejects texts that can't be repetitive, by the entropy of their tokens.
+
+    A text's words (lower case, a blank before each) are encoded word by word, so a word has the same tokens wherever it stands. If
+    a share of ``least`` or more of its runs of words are repeats, each of these, n of them, starts a pair of neighbouring tokens that has occurred before;
+    so of all P pairs at most P - n differ, and their entropy is at most log2(P - n) bits. A text above this band is not
+    repetitive, whatever its language or script: the band follows from the definition, not from any data. The others are measured exactly.
+    """
+
+    def __init__(self, ranks: bytes, run: int, least: float):
+        self.encode, self.run, self.least = encoder(ranks).encode, run, least
+        self.memo: dict[str, list[int]] = {}
+
+    def pair_entropy(self, words: list[str]) -> tuple[int, float]:
+        """(pairs, entropy in bits) of neighbouring tokens of the words."""
+        out, memo = array("i"), self.memo
+        for w in words:
+            ids = memo.get(w)
+            if ids is None:
+                ids = self.encode(" " + w)
+                if len(memo) < MEMO and len(w) <= MEMO_LETTERS:
+                    memo[w] = ids
+            out.extend(ids)
+        ids = np.frombuffer(out, dtype=np.int32).astype(np.int64)
+        pairs = np.sort(ids[:-1] << 32 | ids[1:])
+        if not len(pairs):
+            return 0, 0.0
+        n = np.diff(np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1], [True]))))
+        return len(pairs), float(np.log2(len(pairs)) - (n * np.log2(n)).sum() / len(pairs))
+
+    def inside(self, words: list[str]) -> tuple[bool, float]:
+        """Whether the words may be repetitive, and the entropy."""
+        runs = len(words) - self.run + 1
+        if runs < 1:
+            return False, 0.0
+        pairs, entropy = self.pair_entropy(words)
+        left = pairs - np.ceil(self.least * runs - 1e-9)
+        return bool(left < 1 or entropy <= np.log2(left) + 1e-9), entropy
+
+
+def repeated_shares(df: DataFrame, text_col: str = "text", run: int = RUN, least: float = 0.3, ranks: bytes | None = None) -> DataFrame:
+    """df's columns but for the text, ``pair_entropy``, ``in_band`` and ``repeated_share``, in one pass without a shuffle.
+
+    ``in_band``: the token band doesn't rule out a share of ``least`` or more; only then the share is measured, else it is null. So
+    ``repeated_share >= least`` holds for exactly the texts it holds for by definition. Texts of fewer than ``run`` words, and null ones, are
+    out of the band, with an entropy of 0.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(ranks or vocabulary_file())  # a vocabulary, about 1 MB
+    keep = [c for c in df.columns if c != text_col]
+    names = ["pair_entropy", "in_band", "repeated_share"]
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["pair_entropy double", "in_band boolean", "repeated_share double"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band = TokenBand(shared.value, run, least)
+        for batch in batches:
+            entropy, inside, share = [], [], []
+            for text in batch.column(text_col).to_pylist():
+                words = [w.lower() for w in find_words(text or "")]
+                hit, h = band.inside(words)
+                entropy.append(h)
+                inside.append(hit)
+                share.append(None)
+                if hit:
+                    n, distinct = distinct_runs(*number_words(words), run)
+                    share[-1] = 1 - distinct / n
+            cols = [pa.array(entropy, pa.float64()), pa.array(inside, pa.bool_()), pa.array(share, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], names=[*keep, *names])
+
+    return df.select(*keep, text_col).mapInArrow(work, schema)
+
+
 def measure(df: DataFrame, text_col: str = "text", run: int = RUN, ranks: bytes | None = None, pieces: bytes | None = None) -> DataFrame:
     """df's columns but for the text, and what is measured of each text, in one pass without a shuffle.
 

@@ -12,8 +12,13 @@ find_words = re.compile(r"[^\W_]+").findall
 
 def word_ids(text: str) -> tuple[np.ndarray, int]:
     """The text's words in lower case as numbers from 0, and how many there are."""
+    return number_words([w.lower() for w in find_words(text)])
+
+
+def number_words(words: list[str]) -> tuple[np.ndarray, int]:
+    """Words as numbers from 0, and how many different ones there are."""
     known: dict[str, int] = {}
-    ids = np.fromiter((known.setdefault(w.lower(), len(known)) for w in find_words(text)), dtype=np.int64)
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words))
     return ids, len(known)
 
 

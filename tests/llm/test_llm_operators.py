@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,17 @@ def test_encoder_against_the_library(encoder):
     assert encoder.encode(None) == encoder.encode("") == []
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "a", "的一是不了人我在有他这"])
+def test_encoder_is_linear_in_a_piece(encoder, letters):
+    r, took = random.Random(3), []
+    for n in (40_000, 160_000):
+        piece = "".join(r.choice(letters) for _ in range(n)).encode()
+        began = time.perf_counter()
+        assert b"".join(encoder.tokens[i] for i in encoder.encode_piece(piece)) == piece
+        took.append(time.perf_counter() - began)
+    assert took[1] < 4 * took[0] * 2 + 0.1  # four times the letters; quadratic would be sixteen times the time
+
+
 def test_encode_table(spark):
     df = spark.createDataFrame([(1, "a b", "z"), (2, "", None), (3, None, None), (1, "a b", "z")], "doc_id long, text string, ids string")
     got = sorted((r["doc_id"], r["ids"]) for r in tokens.encode_table(df).collect())
@@ -131,6 +143,28 @@ def test_runs_against_brute_force():
     assert distinct_runs(ids, 9973, 5) == (19996, 9973)
 
 
+def test_band_loses_no_repetitive_text():
+    r, band = random.Random(4), repetition.TokenBand(tokens.vocabulary_file(), 5, 0.3)
+    for k in range(400):
+        words = [r.choice(["the", "Straße", "x1", "中文字", "refrigerator", "a", "42"][: r.randint(1, 7)]) if r.random() < 0.3 else f"w{r.randint(0, 50 + k)}" for _ in range(r.randint(0, 80))]
+        if words and r.random() < 0.7:  # repeat a part, as often as it takes to come near the threshold
+            lo = r.randrange(len(words))
+            words += words[lo : lo + r.randint(1, 40)]
+        words = [w.lower() for w in words]
+        runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        share = 1 - len(set(runs)) / len(runs) if runs else 0
+        assert share < 0.3 or band.inside(words)[0]
+
+
+def test_repeated_shares(spark):
+    texts = [*ODD, None, "one two three four five " * 40, " ".join(f"w{i}" for i in range(5000))]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, repeated int")
+    got = {r["doc_id"]: r for r in repetition.repeated_shares(df).collect()}
+    assert len(got) == len(texts) and got[len(ODD)]["repeated_share"] is None and not got[len(ODD)]["in_band"]
+    assert got[len(ODD) + 1]["repeated_share"] > 0.9 and not got[len(ODD) + 2]["repeated_share"]
+    assert repetition.repeated_shares(df.limit(0)).count() == 0
+
+
 def test_measures(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*ODD, None, "one two three four five " * 40])], "doc_id long, text string")
     got = {r["doc_id"]: r for r in repetition.measure(df).collect()}
