@@ -20,49 +20,49 @@ class Chain:
 
     def scores_of(self, features: list[list[int]]) -> np.ndarray:
         """(tokens x reach x labels): what each of some tokens, by its features, adds to the labels of the tokens in its reach."""
-        out = np.zeros((len(features) + 1, len(REACH), self.steps.shape[0]), dtype=np.float32)
+        out = np.zeros((len(features), len(REACH), self.steps.shape[0]), dtype=np.float32)
         if features:
             lens = np.array([len(f) for f in features])
             flat = np.fromiter((x for f in features for x in f), dtype=np.int64, count=int(lens.sum()))
             some = lens > 0
             starts = np.concatenate(([0], np.cumsum(lens)))[:-1][some]
             if len(flat):
-                out[:-1][some] = np.add.reduceat(self.weights[flat], starts, axis=0)
+                out[some] = np.add.reduceat(self.weights[flat], starts, axis=0)
         return out
 
     def emissions(self, tokens: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """(texts x length x labels) for padded numbers of tokens; scores' last row is that of no token."""
-        n, length = tokens.shape
-        none = len(scores) - 1
-        out = np.zeros((n, length, self.steps.shape[0]), dtype=np.float32)
+        """(texts x length x labels) for padded rows of scores; the row of padding is zero."""
+        length = tokens.shape[1]
+        each = scores[tokens]
+        out = each[:, :, REACH.index(0)].copy()
         for k, o in enumerate(REACH):
-            there = np.full_like(tokens, none)
-            if o < 0:
-                there[:, -o:] = tokens[:, :o] if length > -o else there[:, -o:]
-            elif o == 0:
-                there = tokens
-            elif length > o:
-                there[:, :-o] = tokens[:, o:]
-            out += scores[there, k]
+            if o < 0 and length > -o:
+                out[:, -o:] += each[:, :o, k]
+            elif 0 < o < length:
+                out[:, :-o] += each[:, o:, k]
         return out
 
     def viterbi(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The likeliest labels of each text, texts side by side; positions beyond a text's length have no meaning."""
         n, length, m = emissions.shape
-        back = np.zeros((length, n, m), dtype=np.int8)
-        best = self.first + emissions[:, 0]
+        e = np.ascontiguousarray(emissions.transpose(1, 2, 0))  # places, labels, texts: each step runs over all texts at once
+        back = np.zeros((length, m, n), dtype=np.int8)
+        best = e[0] + self.first[:, None]
         for t in range(1, length):
-            ways = best[:, :, None] + self.steps
-            back[t] = ways.argmax(axis=1)
-            ahead = ways.max(axis=1) + emissions[:, t]
-            best = np.where((t < lengths)[:, None], ahead, best)
+            ahead, way = best[0] + self.steps[0][:, None], back[t]
+            for f in range(1, m):
+                ways = best[f] + self.steps[f][:, None]
+                way[ways > ahead] = f
+                np.maximum(ahead, ways, out=ahead)
+            ahead += e[t]
+            best = ahead if t < lengths.min() else np.where(t < lengths, ahead, best)
         out = np.zeros((n, length), dtype=np.int8)
-        label = best.argmax(axis=1)
+        label = best.argmax(axis=0)
         rows = np.arange(n)
         for t in range(length - 1, -1, -1):
             out[:, t] = label
             if t:
-                label = np.where(t < lengths, back[t, rows, label], label)
+                label = np.where(t < lengths, back[t, label, rows], label)
         return out
 
 
@@ -100,7 +100,7 @@ def _gaps(e: np.ndarray, first: np.ndarray, steps: np.ndarray, y: np.ndarray, li
     return miss, seen - expected
 
 
-def train(tokens: np.ndarray, lengths: np.ndarray, labels: np.ndarray, features: list[list[int]], n_features: int, n_labels: int, passes: int = 20, batch: int = 64, rate: float = 0.15, shrink: float = 3e-5, seed: int = 1) -> Chain:
+def train(tokens: np.ndarray, lengths: np.ndarray, labels: np.ndarray, features: list[list[int]], n_features: int, n_labels: int, passes: int = 10, batch: int = 64, rate: float = 0.15, shrink: float = 3e-5, seed: int = 1) -> Chain:
     """The chain that makes the given labels likely: stochastic gradient ascent of the log-likelihood, with AdaGrad's rates and weight decay.
 
     tokens and labels: (texts x length), padded with len(features) and 0; features: those of each distinct token.
@@ -122,7 +122,7 @@ def train(tokens: np.ndarray, lengths: np.ndarray, labels: np.ndarray, features:
             x = x.reshape(len(pick), size)
             if used[-1] != none:
                 used = np.append(used, none)
-            scores = chain.scores_of([features[u] for u in used[:-1]])
+            scores = np.concatenate([chain.scores_of([features[u] for u in used[:-1]]), np.zeros((1, len(REACH), n_labels), np.float32)])
             e = chain.emissions(x, scores).astype(np.float64).transpose(1, 0, 2)
             live = np.arange(size)[:, None] < n[None, :]
             miss, g_steps = _gaps(e, chain.first, chain.steps, y.T, live)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lotweave.llm.addresses import Locale
 from lotweave.llm.crf import Chain, train
-from lotweave.llm.pii_table import KINDS, TITLES, WORDS, labelled_texts
+from lotweave.llm.pii_table import COUNT_WORDS, GOODS_WORDS, ID_WORDS, KINDS, PLACE_WORDS, REACH_WORDS, ROLE_WORDS, SMALL, TITLES, WORDS, labelled_texts
 
 #: e-mail addresses; joined words; numbers with their letters, signs and separators; words; any other sign.
 TOKENS = re.compile(
@@ -24,12 +24,15 @@ TOKENS = re.compile(
 )
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 #: Texts tagged side by side, and tokens in them with padding, at most (a longer text is tagged alone).
-SIDE_BY_SIDE, MOST_TOKENS = 256, 200_000
+SIDE_BY_SIDE, MOST_TOKENS = 1024, 200_000
+#: Distinct tokens whose scores a tagger keeps; beyond them it starts anew.
+MOST_KEPT = 50_000
 _LOCALE = Locale()
 _TYPES, _SIDES, _HEADS = set(_LOCALE.types), set(_LOCALE.sides), set(_LOCALE.heads)
 _UNITS = set(_LOCALE.units.split("|")) | {"#"}
 _TITLES = {t.lower().strip(".") for t in TITLES}
 _MONTHS = {w.lower() for k in ("month", "day") for w in WORDS[k]}
+_LISTS = (("title", _TITLES), ("type", _TYPES), ("side", _SIDES), ("head", _HEADS), ("unit", _UNITS), ("time", _MONTHS), ("place", PLACE_WORDS), ("good", GOODS_WORDS), ("role", ROLE_WORDS), ("reach", REACH_WORDS), ("id", ID_WORDS), ("count", COUNT_WORDS), ("small", frozenset(SMALL)))
 
 
 def shape_of(token: str) -> str:
@@ -38,37 +41,47 @@ def shape_of(token: str) -> str:
     return re.sub(r"x+", "x", re.sub(r"X{3,}", "XX", re.sub(r"\d", "9", out)))
 
 
-def features_of(token: str, starts: bool, given: frozenset[str]) -> list[str]:
-    """What is seen of a token: its word, its shape with and without case, and the lists it is in."""
-    low = token.lower()
-    shape = shape_of(token)
-    out = ["b", f"w={low}", f"s={shape}", f"t={shape.lower()}"]
-    out += [f"l={n}" for n, hit in (("given", low in given), ("title", low in _TITLES), ("type", low in _TYPES), ("side", low in _SIDES), ("head", low in _HEADS), ("unit", low in _UNITS), ("time", low in _MONTHS)) if hit]
-    if starts:
+#: What stands before a token: MIXED texts have small and large letters, others tell nothing by them; STARTS: it begins a sentence.
+MIXED, STARTS = 1, 2
+
+
+def features_of(token: str, where: int, given: frozenset[str]) -> list[str]:
+    """What is seen of a token: its word, its shape with and without case, and the lists it is in. Case counts only where a text has both."""
+    low, mixed = token.lower(), where & MIXED
+    if "@" in token and len(token) > 1:
+        return ["b", "mail"]
+    shape = shape_of(token if mixed else low)
+    out = ["b", f"t={shape.lower()}", f"s={shape}" if mixed else f"f={shape}"]
+    if token.isdigit() or not any(c.isdigit() for c in token):
+        out.append(f"w={low}")
+    out += [f"l={n}" for n, words in _LISTS if low in words]
+    if low in given:
+        out.append("l=given")
+    if where & STARTS:
         out.append("first")
     if token.isalpha():
-        out += [f"n={min(len(token), 8)}", "cap" if token[0].isupper() else "low"]
-        if len(token) > 1 and token.isupper():
-            out.append("upper")
+        out.append(f"n={min(len(token), 8)}")
+        if mixed:
+            out.append("cap" if token[0].isupper() else "low")
+            if len(token) > 1 and token.isupper():
+                out.append("upper")
     elif "-" in token and token.replace("-", "").isalpha():
-        out.append("hyphen" + ("-cap" if token[0].isupper() else ""))
+        out.append("hyphen" + ("" if not mixed else "-cap" if token[0].isupper() else "-low"))
     elif any(c.isdigit() for c in token):
         out += ["digit", f"d={min(sum(c.isdigit() for c in token), 11)}", f"q={shape[:4]}"]
         if any(c.isalpha() for c in token):
             out.append("mixed")
-    if "@" in token and len(token) > 1:
-        out.append("mail")
     return out
 
 
-def cut(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, whether it starts a sentence) of each token."""
+def cut(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, where it stands) of each token."""
     out, fresh = [], True
-    last = 0
+    last, mixed = 0, MIXED if text != text.lower() and text != text.upper() else 0
     for m in TOKENS.finditer(text):
         if "\n" in text[last : m.start()]:
             fresh = True
-        out.append((m.start(), m.end(), fresh))
+        out.append((m.start(), m.end(), mixed | STARTS if fresh else mixed))
         fresh = m[0] in (".", "!", "?", "*", "•") or (fresh and m[0] == "-") or (m[0] == "-" and text[max(0, m.start() - 1) : m.start()].isspace())
         last = m.end()
     return out
@@ -79,13 +92,30 @@ class Tagger:
 
     def __init__(self, given: frozenset[str], index: dict[str, int], chain: Chain):
         self.given, self.index, self.chain = given, index, chain
+        self._forget()
+
+    def __getstate__(self) -> tuple:
+        return self.given, self.index, self.chain
+
+    def __setstate__(self, state: tuple) -> None:
+        self.given, self.index, self.chain = state
+        self._forget()
+
+    def _forget(self) -> None:
+        """No token's scores are known but those of no token, in row 0."""
+        self.kept: dict[tuple[str, int], int] = {}
+        self.scores = np.zeros((1024, *self.chain.weights.shape[1:]), np.float32)
 
     @classmethod
-    def trained(cls, given: list[str], rows: int = 1300, seed: int = 5) -> Tagger:
-        """rows bounds the labelled table; the same rows and seed give the same tagger."""
+    def trained(cls, given: list[str], rows: int = 2500, seed: int = 5, unknown: float = 0.3, texts: list | None = None) -> Tagger:
+        """rows bounds the labelled table; the same rows and seed give the same tagger.
+
+        A share ``unknown`` of the tokens is learned from without its word, as a text's words are mostly in no table.
+        """
         known = frozenset(g.lower() for g in given)
-        texts = labelled_texts(sorted(given), rows, seed)
-        vocab: dict[tuple[str, bool], int] = {}
+        texts = texts or labelled_texts(sorted(given), rows, seed)
+        rng = np.random.default_rng(seed)
+        vocab: dict[tuple[str, int, bool], int] = {}
         seqs, tags = [], []
         for text, spans in texts:
             tokens = cut(text)
@@ -94,10 +124,11 @@ class Tagger:
                 inside = [i for i, (a, b, _) in enumerate(tokens) if a < hi and b > lo]
                 for j, i in enumerate(inside):
                     label[i] = LABELS.index(("I-" if j else "B-") + kind)
-            seqs.append([vocab.setdefault((text[a:b], s), len(vocab)) for a, b, s in tokens])
+            bare = rng.random(len(tokens)) < unknown
+            seqs.append([vocab.setdefault((text[a:b], s, bool(u)), len(vocab)) for (a, b, s), u in zip(tokens, bare)])
             tags.append(label)
         index: dict[str, int] = {}
-        features = [[index.setdefault(f, len(index)) for f in features_of(t, s, known)] for t, s in vocab]
+        features = [[index.setdefault(f, len(index)) for f in features_of(t, s, known) if not (u and f.startswith("w="))] for t, s, u in vocab]
         # a word seen once says nothing that its shape doesn't
         uses = np.bincount([x for seq in seqs for t in seq for x in features[t]], minlength=len(index))
         rare = {i for f, i in index.items() if f.startswith("w=") and uses[i] < 4}
@@ -112,15 +143,31 @@ class Tagger:
         chain = train(x, np.array([len(s) for s in seqs]), y, features, len(kept), len(LABELS))
         return cls(known, kept, chain)
 
+    def _rows(self, text: str, tokens: list[tuple[int, int, int]], new: list[list[int]]) -> list[int]:
+        """The rows of the tokens' scores; features of tokens seen for the first time are added to ``new``."""
+        kept, index, out = self.kept, self.index, []
+        for a, b, s in tokens:
+            key = text[a:b], s
+            row = kept.get(key)
+            if row is None:
+                row = kept[key] = len(kept) + 1
+                new.append([index[f] for f in features_of(*key, self.given) if f in index])
+            out.append(row)
+        return out
+
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the items in each text, in order."""
         cuts = [cut(t) for t in texts]
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        vocab: dict[tuple[str, bool], int] = {}
-        seqs = [[vocab.setdefault((t[a:b], s), len(vocab)) for a, b, s in c] for t, c in zip(texts, cuts)]
-        index = self.index
-        features = [[index[f] for f in features_of(t, s, self.given) if f in index] for t, s in vocab]
-        scores = self.chain.scores_of(features)
+        if len(self.kept) > MOST_KEPT:
+            self._forget()
+        before, new = len(self.kept) + 1, []
+        seqs = [self._rows(t, c, new) for t, c in zip(texts, cuts)]
+        if new:
+            need = before + len(new)
+            if need > len(self.scores):
+                self.scores = np.concatenate([self.scores[:before], np.zeros((max(need, 2 * before) - before, *self.scores.shape[1:]), np.float32)])
+            self.scores[before:need] = self.chain.scores_of(new)
         order = sorted((i for i, s in enumerate(seqs) if s), key=lambda i: len(seqs[i]))
         at = 0
         while at < len(order):
@@ -129,27 +176,24 @@ class Tagger:
                 some.append(order[at + len(some)])
             at += len(some)
             lengths = np.array([len(seqs[i]) for i in some])
-            x = np.full((len(some), int(lengths.max())), len(vocab))
+            x = np.zeros((len(some), int(lengths.max())), dtype=np.int64)
             for k, i in enumerate(some):
                 x[k, : lengths[k]] = seqs[i]
-            found = self.chain.viterbi(self.chain.emissions(x, scores), lengths)
+            found = self.chain.viterbi(self.chain.emissions(x, self.scores), lengths)
             for k, i in enumerate(some):
                 out[i] = self._items(texts[i], cuts[i], found[k, : lengths[k]])
         return out
 
-    def _items(self, text: str, tokens: list[tuple[int, int, bool]], labels: np.ndarray) -> list[tuple[int, int, str]]:
-        out, i, n = [], 0, len(tokens)
-        while i < n:
-            label = int(labels[i])
-            if not label:
-                i += 1
+    def _items(self, text: str, tokens: list[tuple[int, int, int]], labels: np.ndarray) -> list[tuple[int, int, str]]:
+        out, n, j = [], len(tokens), 0
+        for i in np.flatnonzero(labels).tolist():
+            if i < j:
                 continue
-            kind, j = (label - 1) // 2, i + 1
+            kind, j = (int(labels[i]) - 1) // 2, i + 1
             while j < n and labels[j] == 2 * kind + 2:
                 j += 1
             if span := checked(text, tokens[i][0], tokens[j - 1][1], KINDS[kind]):
                 out.append((*span, KINDS[kind]))
-            i = j
         return out
 
 
@@ -166,6 +210,8 @@ def checked(text: str, lo: int, hi: int, kind: str) -> tuple[int, int] | None:
     item = text[lo:hi]
     digits = sum(c.isdigit() for c in item)
     if kind == "phone":
+        lo += len(item) - len(item.lstrip("".join({c for c in item if not c.isdigit() and c not in opening})))
+        item = text[lo:hi]
         if item.startswith("(") and ")" not in item:
             lo, item = lo + 1, item[1:]
         # an extension belongs to the number, whole or begun
@@ -181,6 +227,10 @@ def checked(text: str, lo: int, hi: int, kind: str) -> tuple[int, int] | None:
     if kind == "street_address":
         if not item[:1].isdigit() or not re.search(r"[^\W\d_]{2}", item):
             return None
+        # a unit belongs to the address, whole or begun
+        begun = re.search(rf"(?i)(?:^|\s)(?:{_LOCALE.units})$", item)
+        if more := re.match(r"\.?\s*#?\s*\d+[^\W\d_]?\b", text[hi:]) if begun else re.match(rf"(?i)\.?,?\s*(?:(?:{_LOCALE.units})\b\.?\s*#?|#)\s*(?:\d+[a-z]?|[a-z]\d*)\b", text[hi:]):
+            return lo, hi + more.end()
         last = re.search(r"[^\W\d_]+$", item)
         if last and last[0].lower() in (_TYPES | _SIDES) and text[hi : hi + 1] == ".":
             after = text[hi + 1 : hi + 3]
@@ -198,10 +248,16 @@ def _trained(given: tuple[str, ...], rows: int, seed: int) -> Tagger:
     return Tagger.trained(list(given), rows, seed)
 
 
-def tagger_for(given_names: DataFrame, most_names: int = 2000, rows: int = 1300, seed: int = 5) -> Tagger:
-    """A tagger with the first names of given_names (the first ``most_names`` in alphabetical order, as features only)."""
-    names = given_names.select(F.trim("given_name").alias("g")).where("g <> ''").distinct().orderBy("g").limit(most_names)
-    return _trained(tuple(r["g"] for r in names.collect()), rows, seed)
+#: A list of first names goes to every worker; a larger one is refused, not cut.
+MOST_NAMES = 1_000_000
+
+
+def tagger_for(given_names: DataFrame, rows: int = 2500, seed: int = 5) -> Tagger:
+    """A tagger with all first names of given_names, which are features only; more than MOST_NAMES are refused."""
+    names = given_names.select(F.trim("given_name").alias("g")).where("g <> ''").distinct()
+    if names.count() > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} first names")
+    return _trained(tuple(sorted(r["g"] for r in names.collect())), rows, seed)
 
 
 def find(df: DataFrame, tagger: Tagger, id_col: str, text_col: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lotweave.llm import mixing, neardup, pii, places, repetition, splits, tokens
 from lotweave.llm.addresses import AddressParser, complete, spelling_distance
 from lotweave.llm.crf import Chain
-from lotweave.llm.pii_table import labelled_texts
+from lotweave.llm.pii_table import WITH, WITHOUT, labelled_texts
 from lotweave.llm.words import distinct_runs, word_ids
 
 ODD = ["", " ", "\n\n", "a", "é", "́", "中文字", "😀👍🏽", "<|endoftext|> x", "'s 's'll", "  a   b ", "0" * 50, "a" * 3000, "ab" * 1500, "　x y", "ﬁ ﬂ", "x\x00y", "﻿"]
@@ -267,17 +267,39 @@ def tagger():
     return pii.Tagger.trained("Aisha Carmen Celeste Colin Devon Elspeth Felix Fiona Greta Hana Ingrid Jonas Katya Lucia Marta Nadia Odile Pavel Priya Ravi Sabine Tobias Vera Xavier Yuki Zelda".split())
 
 
-def test_held_out_accuracy(tagger):
-    held = labelled_texts(["Carmen", "Omar"], 150, seed=77)
+def accuracy(tagger, held) -> tuple[float, float]:
     hit = found = true = 0
     for (text, spans), got in zip(held, tagger.spans([t for t, _ in held])):
         a, b = ({(lo, hi - (text[hi - 1] == "."), k) for lo, hi, k in s} for s in (spans, got))
         hit, found, true = hit + len(a & b), found + len(b), true + len(a)
-    assert hit / found > 0.95 and hit / true > 0.93
+    return hit / found, hit / true
+
+
+def test_accuracy_on_patterns_no_training_row_has():
+    """Trained with every other pattern, tested on the others."""
+    some = labelled_texts(["Carmen", "Omar", "Felix", "Ada"], 1500, 5, WITH[::2], WITHOUT[::2])
+    held = labelled_texts(["Piotr", "Nadia"], 300, 77, WITH[1::2], WITHOUT[1::2], made=0.0)
+    precision, recall = accuracy(pii.Tagger.trained(["Carmen", "Omar", "Felix", "Ada", "Piotr", "Nadia"], texts=some), held)
+    print(precision, recall)
+    assert precision > 0.9 and recall > 0.9
+
+
+def test_training_sentences_are_not_in_the_tagged_texts(spark, folder):
+    """Neither a whole pattern, whatever stands in its places, nor a run of four of its words."""
+    texts = [r[0].lower() for r in spark.read.parquet(f"{folder}/listings.parquet").where("description is not null").select("description").collect()]
+    every = "\n".join(texts)
+    for pattern in {*WITH, *WITHOUT}:
+        literal = [re.findall(r"[a-z]+", part) for part in re.split(r"\{\w+\}", pattern.lower())]
+        for words in literal:
+            for i in range(len(words) - 3):
+                run = words[i : i + 4]
+                assert not re.search(r"(?<![a-z])" + "[^a-z]+".join(run) + r"(?![a-z])", every), pattern
+        if sum(map(len, literal)) > 2:
+            assert not re.search(r"(?:^|[.!?\n-] *)" + re.sub(r"\\\{\w+\\\}", r"[^.\\n;:,]{1,30}", re.escape(pattern.lower())) + r"(?:$| |\n)", every), pattern
 
 
 def test_items(tagger):
-    text = "Keys are with Mr. Orlan at 12 Fort Bramwick Rd.. Mornings reach +1 (617) 555-0101 ext. 4, evenings 555-0199. Permit 2082-557-0132 for the roof is closed. Email anna.b @ mail.invalid before noon on Friday. Owner of record: Vole, Carmen, SSN: 900112222."
+    text = "The spare set is with Mr. Orlan, 12 Fort Bramwick Rd.. Weekdays +1 (617) 555-0101 ext. 4, weekends 555-0199. Docket 2082-557-0132 is closed. Notes go to anna.b @ mail.invalid by Friday. Lessee: Vole, Carmen, SSN: 900112222."
     got = [(text[a:b], k) for a, b, k in tagger.spans([text])[0]]
     assert got == [("Orlan", "person_name"), ("12 Fort Bramwick Rd.", "street_address"), ("+1 (617) 555-0101 ext. 4", "phone"), ("555-0199", "phone"), ("anna.b @ mail.invalid", "email"), ("Vole, Carmen", "person_name"), ("900112222", "id_number")]
 
