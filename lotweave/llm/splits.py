@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,8 +13,8 @@ from lotweave.functions.text import zip5
 from lotweave.operators.components import tie_groups
 from lotweave.session import Scratch
 
-#: The bitset has at most this many bits; beyond it, sizes are counted in units of several records.
-BITSET_BITS = 1 << 24
+#: A bitset has at most this many bits.
+BITSET_BITS = 1 << 22
 
 
 def related_groups(df: DataFrame, scratch: Scratch, id_col: str = "emb_id", zip_col: str = "zip", parcel_col: str = "parcel_id") -> DataFrame:
@@ -24,36 +27,75 @@ def related_groups(df: DataFrame, scratch: Scratch, id_col: str = "emb_id", zip_
     return tie_groups(df, id_col, [zip5(F.col(zip_col)), F.when(parcel != "", parcel)], scratch)
 
 
+def _closest_sum(left: dict[int, int], goal: int, bits: int) -> tuple[dict[int, int], int]:
+    """How many groups of each size to take so that their total comes closest to the goal (the smaller of two), and that total.
+
+    A bitset holds all totals that size multiplicities (1, 2, 4, ... groups of a size at once) can make; each total remembers the item
+    that made it first, from which it is traced back. It ends as soon as the goal itself can be made.
+    """
+    if goal <= 0:
+        return {}, 0
+    unit = -(-(2 * goal + 2) // bits)
+    length = 2 * goal // unit + 2
+    aim, mask, reach = round(goal / unit), (1 << length) - 1, 1
+    owner, items = np.full(length, -1, dtype=np.int32), []
+    for s in sorted(left):
+        n, step = min(left[s], 2 * goal // s), 1
+        while n > 0:
+            take = min(step, n)
+            w = max(1, round(s * take / unit))
+            fresh = (reach << w) & mask & ~reach
+            if fresh:
+                seen = np.unpackbits(np.frombuffer(fresh.to_bytes(-(-length // 8), "little"), dtype=np.uint8), bitorder="little")
+                owner[np.flatnonzero(seen)] = len(items)
+                reach |= fresh
+            items.append((s, take, w))
+            n, step = n - take, step * 2
+        if reach >> aim & 1:
+            break
+    made = np.concatenate(([0], np.flatnonzero(owner >= 0)))
+    at = int(made[np.abs(made - aim).argmin()])
+    out: dict[int, int] = {}
+    while at > 0:
+        s, take, w = items[owner[at]]
+        out[s] = out.get(s, 0) + take
+        at -= w
+    return out, sum(s * n for s, n in out.items())
+
+
+def _take(left: dict[int, int], goal: int, bits: int) -> dict[int, int]:
+    """Groups of each size whose total comes closest to the goal.
+
+    First each size gives its share, and a bitset of the rest's totals makes up what is missing, be the table
+    however large. Where that misses the goal and all totals fit in the bitset, the closest of them is taken.
+    """
+    total = sum(s * n for s, n in left.items())
+    part = {s: n * goal // total for s, n in left.items()} if total else {}
+    need = goal - sum(s * n for s, n in part.items())
+    for s in sorted(left, reverse=True):  # what the sizes' shares were rounded down by may still be more than the bitset holds
+        if 2 * need + 2 > bits:
+            more = min(left[s] - part[s], (need - bits // 4) // s)
+            if more > 0:
+                part[s] += more
+                need -= more * s
+    rest, made = _closest_sum({s: n - part[s] for s, n in left.items()}, need, bits)
+    if made != need and 2 * goal + 2 <= bits:
+        return _closest_sum(left, goal, bits)[0]
+    return {s: part.get(s, 0) + rest.get(s, 0) for s in {*part, *rest} if part.get(s, 0) + rest.get(s, 0)}
+
+
 def closest_counts(sizes: dict[int, int], shares: list[float], bits: int = BITSET_BITS) -> list[dict[int, int]]:
     """How many groups of each size go to each split so that the splits' totals come closest to the shares.
 
-    For every split but the largest, taken from the smallest share up, a bitset of all totals that
-    the groups left over can make is built from size multiplicities (1, 2, 4, ... groups of a size at once), the total
-    closest to the target (the smaller of two) is chosen, and traced back. The largest split takes the rest.
+    For every split but the largest, taken from the smallest share up, the total closest to the target that
+    the groups left over can make is chosen; see _take(). The largest split takes the rest.
     """
     total = sum(s * n for s, n in sizes.items())
-    unit = max(1, -(-total // bits))
     left, out = dict(sizes), [dict() for _ in shares]
     order = sorted(range(len(shares)), key=lambda i: (shares[i], -i))
     for i in order[:-1]:
-        target = round(shares[i] * total / unit)
-        items: list[tuple[int, int, int]] = []
-        for s in sorted(left):
-            n, step = left[s], 1
-            while n > 0:
-                take = min(step, n)
-                items.append((s, take, max(1, round(s * take / unit))))
-                n, step = n - take, step * 2
-        mask, reach, history = (1 << (2 * target + 2)) - 1, 1, []
-        for _, _, w in items:
-            history.append(reach)
-            reach = (reach | (reach << w)) & mask
-        best = next((t for d in range(target + 2) for t in (target - d, target + d) if t >= 0 and reach >> t & 1), 0)
-        for (s, take, w), before in zip(reversed(items), reversed(history)):
-            if not before >> best & 1:
-                out[i][s] = out[i].get(s, 0) + take
-                left[s] -= take
-                best -= w
+        out[i] = _take(left, math.floor(shares[i] * total + 0.5), bits)
+        left = {s: n - out[i].get(s, 0) for s, n in left.items() if n > out[i].get(s, 0)}
     out[order[-1]] = left
     return out
 
@@ -87,3 +129,23 @@ def assign_splits(df: DataFrame, groups: DataFrame, scratch: Scratch, names: tup
     ranked = ranked.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("_size", "_range").orderBy("_h", "_g")) - 1)
     split = ranked.join(plan, (ranked["_size"] == plan["_size"]) & (ranked["rank"] >= plan["lo"]) & (ranked["rank"] < plan["hi"])).select("_g", "split")
     return keyed.join(split, "_g").select(id_col, "group", "split")
+
+
+def split_report(df: DataFrame, assigned: DataFrame, shares: dict[str, float], id_col: str = "emb_id", zip_col: str = "zip", parcel_col: str = "parcel_id") -> DataFrame:
+    """(split, records, target, broken): each split's records, those it should have, and how many zips and parcels it shares with another split.
+
+    ``broken`` is counted anew from df's own columns, a row of which assigned (id, group, split) must know; it is 0 for every split.
+    """
+    parcel = F.trim(F.col(parcel_col))
+    keys = F.array_compact(F.array(F.concat(F.lit("0:"), zip5(F.col(zip_col))), F.when(parcel != "", F.concat(F.lit("1:"), parcel))))
+    tied = df.select(id_col, F.explode(keys).alias("key")).join(assigned.select(id_col, "split").distinct(), id_col)
+    crossing = tied.groupBy("key").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b")
+    broken = crossing.select(F.explode(F.array("a", "b")).alias("split")).groupBy("split").agg(F.count("*").alias("broken"))
+    wanted = df.sparkSession.createDataFrame(list(shares.items()), "split string, share double")
+    n = assigned.agg(F.count("*").alias("n"))
+    rest = max(shares, key=shares.get)
+    out = wanted.join(assigned.groupBy("split").agg(F.count("*").alias("records")), "split", "left").join(broken, "split", "left").crossJoin(F.broadcast(n))  # one row
+    out = out.withColumn("_t", F.floor(F.col("share") * F.col("n") + 0.5))
+    others = out.where(F.col("split") != rest).agg(F.sum("_t").alias("_o"))
+    target = F.when(F.col("split") == rest, F.col("n") - F.col("_o")).otherwise(F.col("_t"))
+    return out.crossJoin(F.broadcast(others)).select("split", F.coalesce("records", F.lit(0)).alias("records"), target.alias("target"), F.coalesce("broken", F.lit(0)).alias("broken"))  # one row

@@ -60,6 +60,20 @@ def test_closest_counts_is_closest(seed):
     assert abs(sum(s * n for s, n in got[1].items()) - round(0.3 * total)) == best
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_closest_counts_of_many_records(seed):
+    """Beyond the bitset, and with sizes of a long tail, the totals still meet the targets."""
+    r = random.Random(seed)
+    sizes = {1: 5_000_000} | {r.randint(2, 3_000_000): r.randint(1, 40) for _ in range(300)}
+    total = sum(s * n for s, n in sizes.items())
+    got = splits.closest_counts(sizes, [0.7, 0.15, 0.15], 1 << 16)
+    assert all(sum(p.get(s, 0) for p in got) == n for s, n in sizes.items())
+    for part in got[1:]:
+        assert sum(s * n for s, n in part.items()) == int(0.15 * total + 0.5)
+    few = {s * 1000: n for s, n in {7: 3, 11: 2, 400: 1, 950: 2}.items()}
+    assert sum(p.get(7000, 0) for p in splits.closest_counts(few, [0.5, 0.5], 1 << 10)) == 3
+
+
 # ---- tokens
 
 
