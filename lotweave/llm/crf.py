@@ -8,6 +8,8 @@ import numpy as np
 
 #: Tokens whose features count for a label, counted from the token itself.
 REACH = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
+#: Tokens whose scores are summed at once.
+AT_ONCE = 2048
 
 
 @dataclass
@@ -32,14 +34,17 @@ class Chain:
 
     def emissions(self, tokens: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """(texts x length x labels) for padded rows of scores; the row of padding is zero."""
-        length = tokens.shape[1]
-        each = scores[tokens]
-        out = each[:, :, REACH.index(0)].copy()
-        for k, o in enumerate(REACH):
-            if o < 0 and length > -o:
-                out[:, -o:] += each[:, :o, k]
-            elif 0 < o < length:
-                out[:, :-o] += each[:, o:, k]
+        many, length = tokens.shape
+        out = np.empty((many, length, self.steps.shape[0]), np.float32)
+        block = max(1, AT_ONCE // length)
+        for lo in range(0, many, block):  # so few at once that they stay in the processor's cache
+            each, sums = scores[tokens[lo : lo + block]], out[lo : lo + block]
+            sums[:] = each[:, :, REACH.index(0)]
+            for k, o in enumerate(REACH):
+                if o < 0 and length > -o:
+                    sums[:, -o:] += each[:, :o, k]
+                elif 0 < o < length:
+                    sums[:, :-o] += each[:, o:, k]
         return out
 
     def viterbi(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -15,9 +15,9 @@ from lotweave.llm.addresses import Locale
 from lotweave.llm.crf import Chain, train
 from lotweave.llm.pii_table import COUNT_WORDS, GOODS_WORDS, ID_WORDS, KINDS, PLACE_WORDS, REACH_WORDS, ROLE_WORDS, SMALL, TITLES, WORDS, labelled_texts
 
-#: e-mail addresses; joined words; numbers with their letters, signs and separators; words; any other sign.
+#: plain words, which are most; e-mail addresses; joined words; numbers with their letters, signs and separators; words; any other sign.
 TOKENS = re.compile(
-    r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\w"
+    r"[^\W\d_]+(?=[ ,;:)!?\n]|\.?(?:\s|$))|[\w.+-]+@[\w-]+(?:\.[\w-]+)*\w"
     r"|[^\W\d_]*\d[^\W_]*(?:[./-][^\W_]*\d[^\W_]*)*(?:,\d{3}(?!\d))*(?![\w+]*[._+][^\W\d_])"
     r"|\w+(?:[._+-]+\w+)*(?<=[\w])(?=\s*(?:@|\[at\]|\(at\)))|\w+(?:[._+]\w+)+"
     r"|[^\W\d_]+(?:['’-][^\W\d_]+)*|\S"
@@ -74,17 +74,23 @@ def features_of(token: str, where: int, given: frozenset[str]) -> list[str]:
     return out
 
 
-def cut(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, where it stands) of each token."""
-    out, fresh = [], True
-    last, mixed = 0, MIXED if text != text.lower() and text != text.upper() else 0
+def cut(text: str) -> tuple[list[tuple[int, int]], list[tuple[str, int]]]:
+    """(start, end) of each token; the token itself and where it stands."""
+    places, tokens, fresh, last = [], [], True, 0
+    mixed, lines = MIXED if text != text.lower() and text != text.upper() else 0, "\n" in text
     for m in TOKENS.finditer(text):
-        if "\n" in text[last : m.start()]:
+        a, b = place = m.span()
+        if lines and text.find("\n", last, a) >= 0:
             fresh = True
-        out.append((m.start(), m.end(), mixed | STARTS if fresh else mixed))
-        fresh = m[0] in (".", "!", "?", "*", "•") or (fresh and m[0] == "-") or (m[0] == "-" and text[max(0, m.start() - 1) : m.start()].isspace())
-        last = m.end()
-    return out
+        token = text[a:b]
+        places.append(place)
+        tokens.append((token, mixed | STARTS if fresh else mixed))
+        if b - a == 1:
+            fresh = token in ".!?*•" or (token == "-" and (fresh or text[max(0, a - 1) : a].isspace()))
+        else:
+            fresh = False
+        last = b
+    return places, tokens
 
 
 class Tagger:
@@ -118,14 +124,14 @@ class Tagger:
         vocab: dict[tuple[str, int, bool], int] = {}
         seqs, tags = [], []
         for text, spans in texts:
-            tokens = cut(text)
+            where, tokens = cut(text)
             label = [0] * len(tokens)
             for lo, hi, kind in spans:
-                inside = [i for i, (a, b, _) in enumerate(tokens) if a < hi and b > lo]
+                inside = [i for i, (a, b) in enumerate(where) if a < hi and b > lo]
                 for j, i in enumerate(inside):
                     label[i] = LABELS.index(("I-" if j else "B-") + kind)
             bare = rng.random(len(tokens)) < unknown
-            seqs.append([vocab.setdefault((text[a:b], s, bool(u)), len(vocab)) for (a, b, s), u in zip(tokens, bare)])
+            seqs.append([vocab.setdefault((*t, bool(u)), len(vocab)) for t, u in zip(tokens, bare)])
             tags.append(label)
         index: dict[str, int] = {}
         features = [[index.setdefault(f, len(index)) for f in features_of(t, s, known) if not (u and f.startswith("w="))] for t, s, u in vocab]
@@ -143,17 +149,14 @@ class Tagger:
         chain = train(x, np.array([len(s) for s in seqs]), y, features, len(kept), len(LABELS))
         return cls(known, kept, chain)
 
-    def _rows(self, text: str, tokens: list[tuple[int, int, int]], new: list[list[int]]) -> list[int]:
+    def _rows(self, tokens: list[tuple[str, int]], new: list[list[int]]) -> list[int]:
         """The rows of the tokens' scores; features of tokens seen for the first time are added to ``new``."""
-        kept, index, out = self.kept, self.index, []
-        for a, b, s in tokens:
-            key = text[a:b], s
-            row = kept.get(key)
-            if row is None:
-                row = kept[key] = len(kept) + 1
+        kept, index = self.kept, self.index
+        for key in tokens:
+            if key not in kept:
+                kept[key] = len(kept) + 1
                 new.append([index[f] for f in features_of(*key, self.given) if f in index])
-            out.append(row)
-        return out
+        return [kept[key] for key in tokens]
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the items in each text, in order."""
@@ -162,7 +165,7 @@ class Tagger:
         if len(self.kept) > MOST_KEPT:
             self._forget()
         before, new = len(self.kept) + 1, []
-        seqs = [self._rows(t, c, new) for t, c in zip(texts, cuts)]
+        seqs = [self._rows(c, new) for _, c in cuts]
         if new:
             need = before + len(new)
             if need > len(self.scores):
@@ -181,18 +184,18 @@ class Tagger:
                 x[k, : lengths[k]] = seqs[i]
             found = self.chain.viterbi(self.chain.emissions(x, self.scores), lengths)
             for k, i in enumerate(some):
-                out[i] = self._items(texts[i], cuts[i], found[k, : lengths[k]])
+                out[i] = self._items(texts[i], cuts[i][0], found[k, : lengths[k]])
         return out
 
-    def _items(self, text: str, tokens: list[tuple[int, int, int]], labels: np.ndarray) -> list[tuple[int, int, str]]:
-        out, n, j = [], len(tokens), 0
+    def _items(self, text: str, places: list[tuple[int, int]], labels: np.ndarray) -> list[tuple[int, int, str]]:
+        out, n, j = [], len(places), 0
         for i in np.flatnonzero(labels).tolist():
             if i < j:
                 continue
             kind, j = (int(labels[i]) - 1) // 2, i + 1
             while j < n and labels[j] == 2 * kind + 2:
                 j += 1
-            if span := checked(text, tokens[i][0], tokens[j - 1][1], KINDS[kind]):
+            if span := checked(text, places[i][0], places[j - 1][1], KINDS[kind]):
                 out.append((*span, KINDS[kind]))
         return out
 
