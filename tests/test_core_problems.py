@@ -118,6 +118,17 @@ def test_fill_without_anything(spark, scratch):
     assert fill_from_like(df.limit(0), [Numeric("x", 0, 1)], [], [], scratch).count() == 0
 
 
+def test_fill_of_many_groups_is_that_of_few(spark, scratch, folder, monkeypatch):
+    """Levels of many groups are shuffled, those of few broadcast; the fills are the same."""
+    parcels = spark.read.parquet(f"{folder}/parcels.parquet")
+    cols = ["row_id", "bedrooms", "year_built", "bldg_area_sqft", "land_use", "bedrooms_filled"]
+    few = fill_parcels(parcels, scratch, 3).select(*cols).toPandas().sort_values("row_id").reset_index(drop=True)
+    for most in (0, 30):
+        monkeypatch.setattr("lotweave.operators.impute.FEW_GROUPS", most)
+        many = fill_parcels(parcels, scratch, 3).select(*cols).toPandas().sort_values("row_id").reset_index(drop=True)
+        assert few.round(2).equals(many.round(2))
+
+
 def test_fill_parcels_beats_the_mean(spark, folder, scratch):
     """Held-out values come out nearer than the city's mean."""
     parcels = spark.read.parquet(f"{folder}/parcels.parquet").where("bldg_area_sqft between 100 and 1000000").withColumn("bldg_area_sqft", F.log("bldg_area_sqft") * 1000)
