@@ -14,10 +14,13 @@ from lotweave.llm.splits import zip5
 from lotweave.operators.components import connected_components
 from lotweave.session import Scratch
 
-#: Names shorter than this are never taken for misspelt ones.
-LEAST_LENGTH = 6
-#: Two spellings that each occur so often, the rarer at least a fifth as often as the other, are two streets.
+#: Names shorter than this are never taken for misspelt ones (main and maine, park and bark are streets of their own), nor
+#: names shorter than the second for ones two edits away.
+LEAST_LENGTH, LEAST_FOR_TWO = 6, 8
+#: Of two spellings, the rarer is a street of its own if it names this many houses or more, and at least a fifth as many as the other.
 ESTABLISHED, FIFTH = 5, 5
+#: A spelling two edits from another is a slip if it names at most a tenth as many houses, or if neither names more than this many.
+TENTH, RARE = 10, 2
 
 
 def parse_records(records: DataFrame, locale: Locale | None = None) -> DataFrame:
@@ -60,28 +63,62 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([spelling_distance(x, y) for x, y in zip(a, b)])
 
 
-def _alike(streets: DataFrame, times: int) -> DataFrame:
-    keyed = streets.where(F.length("name") >= LEAST_LENGTH).select("city", "zip", "name", "n", F.explode(_without(F.col("name"), times)).alias("key"))
+def _letters(s: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(s, "")), "")
+
+
+def _swapped(a: Column, b: Column) -> Column:
+    """Whether swapping two neighbouring letters of a gives b."""
+    return F.exists(F.sequence(F.lit(1), F.length(a) - 1), lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b)
+
+
+def _one_edit(a: str, b: str) -> Column:
+    """Whether two names of two letters or more are at most one edit (insert, drop, replace, swap of neighbours) apart."""
+    x, y = F.col(a), F.col(b)
+    plain = F.levenshtein(x, y, 2)
+    return (plain.between(0, 1)) | ((plain == 2) & (F.length(x) == F.length(y)) & _swapped(x, y))
+
+
+def _two_edits(pairs: DataFrame) -> DataFrame:
+    """Those of pairs(name, other, ...) at most two edits apart.
+
+    Two edits are at most two plain ones, or, where a swap is among them, three or four of which the letters, in order, differ by two at most; only these few are measured in Python.
+    """
+    plain = F.levenshtein("name", "other", 4)
+    kept = pairs.withColumn("_d", plain).where("_d >= 0")
+    near = kept.where("_d <= 2").drop("_d")
+    far = kept.where("_d > 2").drop("_d").where(F.levenshtein(_letters(F.col("name")), _letters(F.col("other")), 2) >= 0)
+    return near.unionAll(far.withColumn("_d", _distance("name", "other")).where("_d <= 2").drop("_d"))
+
+
+def _alike(streets: DataFrame, times: int, least: int) -> DataFrame:
+    keyed = streets.where(F.length("name") >= least).select("city", "zip", "name", "n", F.explode(_without(F.col("name"), times)).alias("key"))
     other = keyed.select("city", "zip", "key", F.col("name").alias("other"), F.col("n").alias("m"))
     # sizes are guessed before the letters are dropped, so a broadcast could be a hundred times as large as planned
     return keyed.join(other.hint("merge"), ["city", "zip", "key"]).where("name < other").select("city", "zip", "name", "other", "n", "m").distinct()
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionAll(pairs.select("city", "zip", F.col("other").alias("name"), F.col("name").alias("other"), F.col("m").alias("n"), F.col("n").alias("m")))
+
+
 def same_streets(streets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(city, zip, name, root) of streets(city, zip, name, n): spellings of one street in one zip share a root.
+    """(city, zip, name, root) of streets(city, zip, name, n): spellings of one street in one zip share a root. n counts the different houses a spelling names, so copies of a record don't count.
 
-    A spelling joins the most frequent one a single edit away, if that is more frequent (of equals, the first by letters)
-    and the two aren't both established. Rare spellings that join none, since no record has the right one, join each other
-    if they are two edits apart. Candidates share what is left after dropping letters, so no two names of a zip are
+    A spelling joins that of the most houses a single edit away, if that has more (of equals, the first by letters)
+    and isn't another street by ESTABLISHED and FIFTH. A spelling of LEAST_FOR_TWO letters or more that joins none so joins that of the most
+    houses two edits away, if it names at most a tenth as many, or, where both are rare since no record has the right spelling, the first by
+    letters. Candidates share what is left after dropping letters, so no two names of a zip are
     compared without need; and as each spelling joins one other, slips of two streets don't tie the streets together.
     """
     ahead = F.struct((-F.col("m")).alias("m"), F.col("other"))
-    one = _alike(streets, 1).withColumn("d", _distance("name", "other")).where("d <= 1").select("city", "zip", "name", "other", "n", "m")
-    both = one.unionAll(one.select("city", "zip", F.col("other").alias("name"), F.col("name").alias("other"), F.col("m").alias("n"), F.col("n").alias("m")))
-    both = both.where(f"(m > n or (m = n and other < name)) and not (n >= {ESTABLISHED} and n * {FIFTH} >= m)")
-    joined = scratch.cut(both.groupBy("city", "zip", "name").agg(F.min_by("other", ahead).alias("other")))
-    alone = scratch.cut(streets.where("n <= 2 and length(name) >= 8").join(joined.select("city", "zip", "name"), ["city", "zip", "name"], "left_anti"))
-    two = _alike(alone, 2).withColumn("d", _distance("name", "other")).where("d <= 2").select("city", "zip", "name", "other")
+    one = _both_ways(_alike(streets, 1, LEAST_LENGTH).where(_one_edit("name", "other")))
+    one = one.where(f"(m > n or (m = n and other < name)) and not (n >= {ESTABLISHED} and n * {FIFTH} >= m)")
+    joined = scratch.cut(one.groupBy("city", "zip", "name").agg(F.min_by("other", ahead).alias("other")))
+    alone = scratch.cut(streets.join(joined.select("city", "zip", "name"), ["city", "zip", "name"], "left_anti"))
+    two = _both_ways(_two_edits(_alike(alone, 2, LEAST_FOR_TWO)))
+    two = two.where(f"(n * {TENTH} <= m) or (n <= {RARE} and m <= {RARE} and (m > n or (m = n and other < name)))")
+    two = two.groupBy("city", "zip", "name").agg(F.min_by("other", ahead).alias("other"))
 
     def node(c: str) -> Column:
         return F.concat_ws("\u0001", "city", "zip", c)
@@ -101,7 +138,9 @@ def find_zips(lost: DataFrame, streets: DataFrame) -> DataFrame:
     near = lost.select("city", "name", F.explode(_without(F.col("name"), 1)).alias("key"))
     known = streets.select("city", F.col("name").alias("other"), "zip", "root", F.explode(_without(F.col("name"), 1)).alias("key"))
     pairs = near.join(known.hint("merge"), ["city", "key"]).select("city", "name", "other", "zip", "root").distinct()
-    pairs = pairs.withColumn("d", F.when(F.col("name") == F.col("other"), 0).otherwise(_distance("name", "other"))).where(f"d = 0 or length(name) >= {LEAST_LENGTH}")
+    # names that share a key by dropping one letter each are at most two edits apart
+    far = F.when(_one_edit("name", "other"), 1).otherwise(2)
+    pairs = pairs.withColumn("d", F.when(F.col("name") == F.col("other"), 0).otherwise(far)).where(f"d = 0 or length(name) >= {LEAST_LENGTH}")
     best = pairs.groupBy("city", "name").agg(F.min("d").alias("d")).join(pairs, ["city", "name", "d"])
     where = best.groupBy("city", "name").agg(F.count_distinct("zip").alias("zips"), F.min("zip").alias("zip"), F.min("root").alias("root"))
     out = lost.join(where, ["city", "name"], "left").where("zips is null or zips = 1")
@@ -135,7 +174,7 @@ def place_of(records: DataFrame, scratch: Scratch, locale: Locale | None = None)
     a number or street, or without a zip on a street of several zips, is left out. Repeated ids have a row each.
     """
     parsed = scratch.cut(parse_records(records, locale))
-    streets = parsed.where("zip is not null").groupBy("city", "zip", "name").agg(F.count("*").alias("n"))
+    streets = parsed.where("zip is not null").groupBy("city", "zip", "name").agg(F.count_distinct("number").alias("n"))
     rooted = scratch.cut(same_streets(scratch.cut(streets), scratch))
     lost = parsed.where("zip is null").select("city", "name").distinct()
     found = find_zips(lost, rooted)
