@@ -84,11 +84,9 @@ def _two_edits(pairs: DataFrame) -> DataFrame:
 
     Two edits are at most two plain ones, or, where a swap is among them, three or four of which the letters, in order, differ by two at most; only these few are measured in Python.
     """
-    plain = F.levenshtein("name", "other", 4)
-    kept = pairs.withColumn("_d", plain).where("_d >= 0")
-    near = kept.where("_d <= 2").drop("_d")
-    far = kept.where("_d > 2").drop("_d").where(F.levenshtein(_letters(F.col("name")), _letters(F.col("other")), 2) >= 0)
-    return near.unionAll(far.withColumn("_d", _distance("name", "other")).where("_d <= 2").drop("_d"))
+    plain, letters = F.levenshtein("name", "other", 4), F.levenshtein(_letters(F.col("name")), _letters(F.col("other")), 2)
+    kept = pairs.withColumn("_d", plain).where(F.col("_d").between(0, 2) | ((F.col("_d") > 2) & (letters >= 0)))
+    return kept.withColumn("_e", _distance("name", "other")).where("_d <= 2 or _e <= 2").drop("_d", "_e")
 
 
 def _alike(streets: DataFrame, times: int, least: int) -> DataFrame:
@@ -99,7 +97,9 @@ def _alike(streets: DataFrame, times: int, least: int) -> DataFrame:
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.unionAll(pairs.select("city", "zip", F.col("other").alias("name"), F.col("name").alias("other"), F.col("m").alias("n"), F.col("n").alias("m")))
+    there = F.struct("name", "other", "n", "m")
+    back = F.struct(F.col("other").alias("name"), F.col("name").alias("other"), F.col("m").alias("n"), F.col("n").alias("m"))
+    return pairs.select("city", "zip", F.explode(F.array(there, back)).alias("_p")).select("city", "zip", "_p.*")
 
 
 def same_streets(streets: DataFrame, scratch: Scratch) -> DataFrame:
