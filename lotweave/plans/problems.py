@@ -66,14 +66,14 @@ _SPACES = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
 def _filled_sql(rounds: int = 8, tolerance: float = 5e-3) -> str:
-    """The propagation in SQL, a cell and slot to a row; a round after one that moved nothing by more than the tolerance repeats it."""
+    """The propagation in SQL, a cell and slot to a row; a round after one that moved nothing by more than the tolerance repeats it. Then the last round of the finer edges."""
     uses = ("R1", "R2", "R3", "R4", "CD", "A")
     block, area, units = "c || chr(1) || z || chr(1) || b", "c || chr(1) || z", "u"
     size = lambda v, d: f"floor(round(log2({v}) * 2, 9) + {d})::bigint"
-    edges = [(f"{block} || chr(1) || {units}", 8, 8), (block, 4, 4), (f"{area} || chr(1) || {units}", 2, 2), (area, 1, 1), (f"c || chr(1) || {units}", 0.5, 0.5), ("c", 0.1, 0.1)]
-    edges += [(f"{block} || chr(1) || {size(v, d)}", 4, 0) for v in ("lot", "total") for d in (0, 0.5)] + [("'all'", 1e-6, 1e-6)]
-    slots = [("b_v", "20.0", "bedrooms"), ("y_v", "326.0", "year_built"), ("a_v", "999900.0", "area")]
-    numbers = " union all ".join(f"select cell, {i} as slot, {scale} as scale, sum({v}) as s, count({v}) as n, count(*) - count({v}) as m from v group by cell" for i, (v, scale, _) in enumerate(slots))
+    edges = [(f"{block} || chr(1) || {units}", 8), (block, 4), (f"{area} || chr(1) || {units}", 2), (area, 1), (f"c || chr(1) || {units}", 0.5), ("c", 0.1), ("'all'", 1e-6)]
+    finer = [f"{block} || chr(1) || {size(v, d)}" for v in ("lot", "total") for d in (0, 0.5)]
+    slots = [("b_v", "20.0"), ("y_v", "326.0"), ("a_v", "999900.0")]
+    numbers = " union all ".join(f"select cell, {i} as slot, {scale} as scale, sum({v}) as s, count({v}) as n, count(*) - count({v}) as m from v group by cell" for i, (v, scale) in enumerate(slots))
     shares = " union all ".join(f"select cell, {i}, 1.0, sum(case when l_v = '{u}' then 1.0 when l_v is not null then 0.0 end), count(l_v), count(*) - count(l_v) from v group by cell" for i, u in enumerate(uses, 3))
     sql = f"""
 with p as (select *, lower(trim(city)) as c, lower(trim(zip)) as z, lower(trim(block)) as b, case when units_res >= 0 then least(units_res, 50) end as u,
@@ -81,26 +81,33 @@ with p as (select *, lower(trim(city)) as c, lower(trim(zip)) as z, lower(trim(b
     case when bedrooms between 0 and 20 then bedrooms::double end as b_v, case when year_built between 1700 and 2026 then year_built::double end as y_v,
     case when not isnan(bldg_area_sqft) and bldg_area_sqft between 100 and 1000000 then bldg_area_sqft end as a_v,
     case when upper({_SPACES.format('land_use')}) in {uses} then upper({_SPACES.format('land_use')}) end as l_v from parcels),
-k as (select *, {', '.join(f"'{i}:' || {e}::varchar as g{i}" for i, (e, _, _) in enumerate(edges))} from p),
-v as (select *, concat_ws(chr(2), {', '.join(f"coalesce(g{i}, '-')" for i in range(len(edges)))}) as cell from k),
+k as (select *, {', '.join(f"'{i}:' || {e}::varchar as g{i}" for i, (e, _) in enumerate(edges))}, {', '.join(f"'{i}:' || {e}::varchar as f{i}" for i, e in enumerate(finer))} from p),
+v as materialized (select *, concat_ws(chr(2), {', '.join(f"coalesce(g{i}, '-')" for i in range(len(edges)))}) as cell from k),
 slot as materialized ({numbers} union all {shares}),
-hub as materialized ({' union all '.join(f"select distinct cell, g{i} as hub, {a}::double as w0, {w}::double as w1 from v where g{i} is not null" for i, (_, a, w) in enumerate(edges))}),
+hub as materialized ({' union all '.join(f"select distinct cell, g{i} as hub, {w}::double as w from v where g{i} is not null" for i, (_, w) in enumerate(edges))}),
 e0 as (select cell, slot, scale, m, null::double as e, false as still from slot)"""
     for r in range(1, rounds + 1):
         sql += f""",
 h{r} as (select hub, slot, sum(coalesce(s, 0) + coalesce(e * slot.m, 0)) / nullif(sum(n + case when e is not null then slot.m else 0 end), 0) as h from slot join e{r - 1} using (cell, slot) join hub using (cell) group by hub, slot),
-f{r} as (select cell, slot, sum(case when slot < 3 then w0 else w1 end * h) / nullif(sum(case when h is not null then case when slot < 3 then w0 else w1 end end), 0) as e from hub join h{r} using (hub) group by cell, slot),
+f{r} as (select cell, slot, sum(w * h) / nullif(sum(case when h is not null then w end), 0) as e from hub join h{r} using (hub) group by cell, slot),
 e{r} as materialized (select o.cell, o.slot, scale, m, case when still then o.e else f.e end as e,
     still or coalesce(max(case when m > 0 then coalesce(abs(f.e - o.e) / scale, case when f.e is not null then 1.0 else 0.0 end) else 0.0 end) over (), 0) <= {tolerance} as still from e{r - 1} o left join f{r} f using (cell, slot))"""
     wide = ", ".join(f"max(e) filter (slot = {i}) as e{i}" for i in range(9))
     best = f"list_sort([{', '.join(f'{{e: round(e{i}, 9), j: {-i}, v: {chr(39)}{u}{chr(39)}}}' for i, u in enumerate(uses, 3))}], 'desc')[1].v"
-    return sql + f""",
-w as (select cell, {wide} from e{rounds} group by cell)
-select parcels.* replace (coalesce(b_v, round_even(round(least(greatest(e0, 0), 20), 6), 0))::int as bedrooms, coalesce(y_v, round_even(round(least(greatest(e1, 1700), 2026), 6), 0))::int as year_built,
-    coalesce(a_v, round(least(greatest(e2, 100), 1000000), 3)) as bldg_area_sqft, coalesce(l_v, case when e3 is not null then {best} end) as land_use),
+    numbers = " union all ".join(f"select row_id, {i} as slot, {v} as v, e{i} as e, f0, f1, f2, f3 from v join w using (cell)" for i, (v, _) in enumerate(slots))
+    near = " union all ".join(f"select row_id, slot, v, e, f{i} as hub from x where f{i} is not null" for i in range(4))
+    final = " ".join(f"left join (select row_id, e as d{i} from z where slot = {i}) using (row_id)" for i in range(3))
+    return f"""{sql},
+w as (select cell, {wide} from e{rounds} group by cell),
+x as ({numbers}),
+y as ({near}),
+means as (select hub, slot, avg(coalesce(v, e)) as h from y group by hub, slot),
+z as (select x.row_id, x.slot, coalesce((any_value(x.e) * 6 + sum(4 * h)) / (6 + sum(case when h is not null then 4 end)), any_value(x.e)) as e from x left join y using (row_id, slot) left join means on means.hub = y.hub and means.slot = y.slot group by x.row_id, x.slot)
+select parcels.* replace (coalesce(b_v, round_even(round(least(greatest(d0, 0), 20), 6), 0))::int as bedrooms, coalesce(y_v, round_even(round(least(greatest(d1, 1700), 2026), 6), 0))::int as year_built,
+    coalesce(a_v, round(least(greatest(d2, 100), 1000000), 3)) as bldg_area_sqft, coalesce(l_v, case when e3 is not null then {best} end) as land_use),
   b_v is null as bedrooms_missing, b_v is null and e0 is not null as bedrooms_filled, y_v is null as year_built_missing, y_v is null and e1 is not null as year_built_filled,
   a_v is null as bldg_area_sqft_missing, a_v is null and e2 is not null as bldg_area_sqft_filled, l_v is null as land_use_missing, l_v is null and e3 is not null as land_use_filled
-from parcels join v using (row_id) join w using (cell)
+from parcels join v using (row_id) join w using (cell) {final}
 """
 
 
