@@ -91,6 +91,31 @@ def e_value_interval(theta: float, se: float, sd_y: float, alpha: float = 0.05)
     return e_value(near, sd_y) if near > 0 else 1.0
 
 
+def regression_robustness(tau: float, se: float) -> float:
+    """The share |tau| / (|tau| + 2 se): how strong a confounder must be to explain a regression's coefficient."""
+    return abs(tau) / (abs(tau) + 2 * se) if abs(tau) >= 1e-10 else 0.0
+
+
+def portability(own: float, carried: float) -> str:
+    """What a model carried to another market says of text as a cause: it rejects it, supports it, or hardly does."""
+    return "rejects_direct" if carried < 0 else "weak_direct" if carried < 0.3 * own else "supports_direct"
+
+
+def stability(bare: float, adjusted: float) -> str:
+    """What an effect's shrinking under confounders says of text as a cause."""
+    if abs(bare) <= 1e-3:
+        return "near_zero"
+    shrunk = 1 - abs(adjusted) / abs(bare)
+    return "rejects_direct" if shrunk > 0.5 else "ambiguous" if shrunk > 0.2 else "supports_direct"
+
+
+def verdict(port: str, stable: str) -> str:
+    """Which of two causal models both say."""
+    if port == "rejects_direct" and stable in ("rejects_direct", "near_zero"):
+        return "no_direct_effect"
+    return "direct_effect" if port == stable == "supports_direct" else "ambiguous"
+
+
 def calibrate(placebo: list[tuple[float, float]], theta: float, se: float) -> dict[str, float]:
     """A focal estimate against the normal distribution of at least five placebo estimates (theta, se)."""
     if len(placebo) < 5:

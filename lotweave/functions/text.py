@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotweave.functions.geo import let
+
 #: Contractions in the order they are expanded.
 CONTRACTIONS = [("won't", "will not"), ("can't", "cannot"), ("n't", " not"), ("'re", " are"), ("'ve", " have"), ("'ll", " will"), ("'d", " would"), ("'m", " am"), ("'s", " is")]
 #: Phrases of advertisements that say nothing, removed in this order.
@@ -141,28 +143,30 @@ def vocabulary(c: Column) -> Column:
 
 def style(c: Column, function_words: list[str]) -> Column:
     """Surface measures of a text: words, sentences, lengths, variety, punctuation, readability, and shares of function words; null for texts without words."""
-    words = F.regexp_extract_all(c, F.lit(r"([A-Za-z][A-Za-z'-]*)"), F.lit(1))
-    low = F.transform(words, F.lower)
-    n = F.size(words).cast("double")
-    letters = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)).cast("double")
     sents = F.greatest(F.size(F.regexp_extract_all(c, F.lit(r"([.!?]+)(?:\s|$)"), F.lit(1))), F.lit(1)).cast("double")
-    syllables = F.aggregate(low, F.lit(0), lambda s, w: s + F.greatest(F.size(F.regexp_extract_all(w, F.lit("([aeiouy]+)"), F.lit(1))), F.lit(1))).cast("double")
 
-    def per_word(sign: str) -> Column:
-        return (F.length(c) - F.length(F.replace(c, F.lit(sign), F.lit("")))) / n
+    def measured(low: Column) -> Column:
+        n = F.size(low).cast("double")
+        letters = F.aggregate(low, F.lit(0), lambda s, w: s + F.length(w)).cast("double")
+        syllables = F.aggregate(low, F.lit(0), lambda s, w: s + F.greatest(F.size(F.regexp_extract_all(w, F.lit("([aeiouy]+)"), F.lit(1))), F.lit(1))).cast("double")
+
+        def per_word(sign: str) -> Column:
+            return (F.length(c) - F.length(F.replace(c, F.lit(sign), F.lit("")))) / n
 
-    fields = {
-        "n_words": n, "n_sentences": sents, "mean_sentence_length": n / sents, "mean_word_length": letters / n, "type_token_ratio": F.size(F.array_distinct(low)) / n, "log_n_words": F.ln(n),
-        "comma_per_word": per_word(","), "semicolon_per_word": per_word(";"), "exclaim_per_word": per_word("!"), "question_per_word": per_word("?"),
-        "flesch_reading_ease": 206.835 - 1.015 * n / sents - 84.6 * syllables / n, "flesch_kincaid_grade": 0.39 * n / sents + 11.8 * syllables / n - 15.59,
-        "automated_readability": 4.71 * letters / n + 0.5 * n / sents - 21.43, "coleman_liau": 5.88 * letters / n - 29.6 * sents / n - 15.8,
-    }
+        def share(word: str) -> Column:
+            return F.size(F.filter(low, lambda x: x == word)) / n
 
-    def share(word: str) -> Column:
-        return F.size(F.filter(low, lambda x: x == word)) / n
+        fields = {
+            "n_words": n, "n_sentences": sents, "mean_sentence_length": n / sents, "mean_word_length": letters / n, "type_token_ratio": F.size(F.array_distinct(low)) / n, "log_n_words": F.ln(n),
+            "comma_per_word": per_word(","), "semicolon_per_word": per_word(";"), "exclaim_per_word": per_word("!"), "question_per_word": per_word("?"),
+            "flesch_reading_ease": 206.835 - 1.015 * n / sents - 84.6 * syllables / n, "flesch_kincaid_grade": 0.39 * n / sents + 11.8 * syllables / n - 15.59,
+            "automated_readability": 4.71 * letters / n + 0.5 * n / sents - 21.43, "coleman_liau": 5.88 * letters / n - 29.6 * sents / n - 15.8,
+        }
+        fields |= {f"fw_{w}": share(w) for w in function_words}
+        return F.when(F.size(low) > 0, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
-    fields |= {f"fw_{w}": share(w) for w in function_words}
-    return F.when(F.size(words) > 0, F.struct(*[v.alias(k) for k, v in fields.items()]))
+    # the words are found once, however many measures there are
+    return let(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z][a-z'-]*)"), F.lit(1)), measured)
 
 
 def formality(tags: Column) -> Column:
@@ -185,3 +189,57 @@ def zip5(c: Column) -> Column:
     digits = F.regexp_extract(c, r"^[\s\p{Z}]*(?:[A-Za-z.]+[\s\p{Z}:#-]*)*(\d{1,9})(?:\.0*)?(?:[\s\p{Z}]*-[\s\p{Z}]*\d{4})?[\s\p{Z}]*$", 1)
     code = F.when(F.length(digits) <= 5, F.lpad(digits, 5, "0")).otherwise(F.substring(F.lpad(digits, 9, "0"), 1, 5))
     return F.when((digits != "") & (code != "00000"), code)
+
+
+#: Words without meaning of their own, by their Penn Treebank tag; the sorted list of them is what style counts.
+FUNCTION_WORDS = {
+    "DT": "a all an another any both each either every few many more most neither no some such that the these this those".split(),
+    "IN": "about above after against as at because before below between by down during for from if in into of off on out over than through to under until up while with".split(),
+    "PRP": "he her hers herself him himself his i it its itself me my myself our ours ourselves she their theirs them themselves they us we you your yours yourself".split(),
+    "WP": "what which who whom whose".split(),
+    "MD": "can could may might must shall should will would".split(),
+    "VBZ": "am are be been being did do does doing had has have having is was were".split(),
+    "WRB": "how when where why".split(),
+    "RB": "again also further here just not now once only own same so then there too very".split(),
+    "CC": "and but nor or yet".split(),
+}
+#: Endings that tell a word's tag, tried in order; other words are nouns.
+ENDINGS = [("ly", "RB"), ("ing", "VBG"), ("ed", "VBD"), ("ize", "VB"), ("ful", "JJ"), ("ous", "JJ"), ("ive", "JJ"), ("able", "JJ"), ("ible", "JJ"), ("al", "JJ"), ("ic", "JJ"), ("less", "JJ")]
+#: The seven classes whose shares are counted.
+TAG_CLASSES = {"noun": ["NN"], "verb": ["VB", "VBD", "VBG", "VBZ", "MD"], "adjective": ["JJ"], "adverb": ["RB", "WRB"], "pronoun": ["PRP", "WP"], "preposition": ["IN"], "determiner": ["DT"]}
+
+
+def function_words(most: int = 200) -> list[str]:
+    """The first of the sorted function words."""
+    return sorted(w for ws in FUNCTION_WORDS.values() for w in ws)[:most]
+
+
+def word_tags(c: Column) -> Column:
+    """A tag for each word of a text, from the list of function words and endings: a stand-in for a tagger, which may be put in its place."""
+
+    def tag(w: Column) -> Column:
+        out = None
+        for name, words in FUNCTION_WORDS.items():
+            out = F.when(w.isin(*words), name) if out is None else out.when(w.isin(*words), name)
+        for end, name in ENDINGS:
+            out = out.when(F.endswith(w, F.lit(end)) & (F.length(w) > len(end) + 1), name)
+        return out.otherwise("NN")
+
+    return F.transform(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1)), tag)
+
+
+def tag_shares(tags: Column) -> Column:
+    """A struct of the shares of the seven classes; null without tags."""
+    n = F.size(tags)
+
+    def share(kinds: list[str]) -> Column:
+        return F.size(F.filter(tags, lambda t: t.isin(*kinds))) / n
+
+    return F.when(n > 0, F.struct(*[share(kinds).alias(name) for name, kinds in TAG_CLASSES.items()]))
+
+
+def built_address(number: Column, street: Column) -> Column:
+    """The whole house number, a blank and the street; null if either is missing, the number isn't one, or nothing but a few letters comes of it."""
+    n = F.trim(number).try_cast("double")
+    out = F.concat_ws(" ", n.cast("bigint").cast("string"), F.trim(street))
+    return F.when(n.isNotNull() & ~F.isnan(n) & (F.trim(street) != "") & (F.length(out) > 3), out)

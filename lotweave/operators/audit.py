@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.functions.numeric import calibrate, chi2_sf, severity
+from lotweave.functions.numeric import calibrate, chi2_sf, portability, regression_robustness, severity, stability, verdict
 from lotweave.operators.estimate import mutual_information
 from lotweave.operators.learners import Boosted, Network, cross_entropy, cross_fit, effect, folds_of, logistic, per_group, principal, probability, softmax, standardise
 
@@ -41,6 +41,14 @@ def components(df: DataFrame, k: int, column: str = "emb", out: str = "pcs") ->
     return model.transform(vec).withColumn(out, scores).drop("_v", "_p")
 
 
+def first_component(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, loadings) of the first principal component of vectors; the largest loading is positive."""
+    vec = df.select(array_to_vector(F.col(column)).alias("_v"))
+    mean = vec.select(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray()
+    load = PCA(k=1, inputCol="_v", outputCol="_p").fit(vec).pc.toArray()[:, 0]
+    return mean, load * np.sign(load[np.abs(load).argmax()])
+
+
 def cluster_label_nmi(df: DataFrame, k: int = 50, seeds: int = 3) -> DataFrame:
     """One row (mi, h_a, h_b, nmi): clusters of the embeddings against the labels; the best of some seeds' clusterings counts."""
     vec = df.where("label is not null").withColumn("features", array_to_vector(F.col("emb"))).select("label", "features")
@@ -188,9 +196,9 @@ def seed_stability(df: DataFrame, seeds: int = 10) -> DataFrame:
     return fits.groupBy("city").agg(F.count("*").alias("seeds"), F.median("theta").alias("median"), F.avg("theta").alias("mean"), F.stddev_samp("theta").alias("sd"), F.min("theta").alias("low"), F.max("theta").alias("high"))
 
 
-def escalation(df: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
-    """(city, level, n_confounders, ate, se): the doubly robust effect with more and more confounders, from none to all; a level to a task."""
-    levels = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
+def escalation(df: DataFrame, names: list[str], seed: int = 42, last_all: bool = False) -> DataFrame:
+    """(city, level, n_confounders, ate, se): the doubly robust effect with more and more confounders, from none to all; a level to a task. last_all: only none and all."""
+    levels = df.withColumn("level", F.explode(F.array(F.lit(0), F.size("w")) if last_all else F.sequence(F.lit(0), F.lit(len(names)))))
 
     def work(pdf: pd.DataFrame) -> dict:
         t, w, y = _arrays(pdf)
@@ -407,20 +415,145 @@ def spatial_rank_correlation(df: DataFrame, most: int = 10_000, seed: int = 42,
     return sums.select("city", "pairs", F.when(root > 0, F.col("ab") / root).alias("rho"))
 
 
-def report(df: DataFrame) -> DataFrame:
-    """One row a city: mutual information of clusters and labels, label accuracy against chance, R2 gain, the doubly robust effect, and a verdict."""
-    spark = df.sparkSession
-    acc = {r["city"]: r for r in label_accuracy(df).collect()}  # a row a city, as all below
-    gain = {r["city"]: r for r in backdoor_gain(df).collect()}
-    dr = {r["city"]: r for r in doubly_robust_by_city(df, 40, 3, 200).collect()}
-    rows = []
-    for c in sorted(dr):
-        nmi = cluster_label_nmi(df.where(F.col("city") == c), 20, 1).first()["nmi"]
-        ratio = (acc[c]["accuracy"] or 0) / acc[c]["baseline"] if acc[c]["baseline"] else 0.0
-        zero = dr[c]["boot_low"] <= 0 <= dr[c]["boot_high"]
-        rows.append((c, dr[c]["n"], nmi, acc[c]["accuracy"], ratio, gain[c]["gain"], dr[c]["ate"], dr[c]["boot_low"], dr[c]["boot_high"], severity(nmi, ratio, zero)))
-    return spark.createDataFrame(rows, "city string, n long, nmi double, label_accuracy double, accuracy_ratio double, r2_gain double, ate double, ci_low double, ci_high double, severity string")
+def report(df: DataFrame, trees: int = 40, depth: int = 3, resamples: int = 200, k: int = 20, most_pairs: int = 5_000) -> DataFrame:
+    """One row a city: mutual information of clusters and labels, label accuracy against chance, rank correlation with space, R2 gain, the doubly robust effect, and a verdict.
+
+    Each part is a row a city; they are put together by a join.
+    """
+    acc = label_accuracy(df).select("city", "classes", "accuracy", "baseline")
+    gain = backdoor_gain(df).select("city", "gain")
+    space = spatial_rank_correlation(df, most_pairs).select("city", "rho")
+    dr = doubly_robust_by_city(df, trees, depth, resamples)
+    nmi = [cluster_label_nmi(df.where(F.col("city") == c), k, 1).select(F.lit(c).alias("city"), "nmi") for (c,) in df.select("city").where("city is not null").distinct().orderBy("city").collect()]  # cities are few
+    told = nmi[0]
+    for n in nmi[1:]:
+        told = told.unionAll(n)
+    size = df.groupBy("city").agg(F.max(F.size("emb")).alias("embedding_dim"))
+    out = dr.join(told, "city").join(acc, "city").join(gain, "city").join(space, "city").join(size, "city")
+    ratio = F.coalesce(F.try_divide("accuracy", "baseline"), F.lit(0.0))
+    zero = (F.col("boot_low") <= 0) & (F.col("boot_high") >= 0)
+    grade = F.when((F.col("nmi") > 0.4) & (ratio > 5) & zero, "severe").when((F.col("nmi") > 0.2) & (ratio > 2), "high").when(F.col("nmi") > 0.1, "moderate").otherwise("low")
+    return out.select("city", "n", "embedding_dim", "classes", "nmi", F.col("accuracy").alias("label_accuracy"), F.col("baseline").alias("random_baseline"), ratio.alias("accuracy_ratio"), F.col("rho").alias("spatial_rho"), F.col("gain").alias("r2_gain"), "ate", F.col("boot_low").alias("ci_low"), F.col("boot_high").alias("ci_high"), zero.alias("contains_zero"), grade.alias("severity"))
 
 
 def heterogeneity_p(wald: float, df: int) -> float:
     return chi2_sf(wald, df) if df > 0 else float("nan")
+
+
+def _resid(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    b, a = ridge(x, v)
+    return v - (x @ b + (a if v.ndim == 1 else v.mean(axis=0) - x.mean(axis=0) @ b))
+
+
+def _rank_rows(v: np.ndarray) -> np.ndarray:
+    """Mean ranks of each column, centred and of length 1; zeros for a constant column."""
+    r = pd.DataFrame(v).rank().to_numpy()
+    r -= r.mean(axis=0)
+    n = np.linalg.norm(r, axis=0)
+    return r / np.where(n > 0, n, 1.0)
+
+
+def independence(df: DataFrame, bins: int = 20, permutations: int = 200, most: int = 30, of_null: int = 10) -> DataFrame:
+    """(city, level, conf_dim, mean_rho, max_rho, p): whether outcome and text are independent given the label alone, and given all confounders.
+
+    Residuals of ridge regressions on the confounders; the mean absolute rank correlation over components is held against that of permuted outcomes over
+    the first ``of_null`` components. p counts the permutations at least as large, with one added to both. A city and level to a task.
+    """
+    levels = df.withColumn("level", F.explode(F.array(F.lit("label"), F.lit("rich"))))
+
+    def work(pdf: pd.DataFrame) -> dict:
+        pdf = pdf.sort_values("id")
+        t, w, y = _arrays(pdf)
+        if pdf["level"].iloc[0] == "label":
+            codes = pd.factorize(pdf["label"].fillna(""), sort=True)[0] % bins
+            w = np.eye(bins)[codes][:, np.unique(codes)]
+        w, pcs = standardise(w), standardise(principal(t, min(most, t.shape[1], len(t) - 2)))
+        rest_y, rest_t = _rank_rows(_resid(w, y)[:, None])[:, 0], _rank_rows(np.column_stack([_resid(w, pcs[:, j]) for j in range(pcs.shape[1])]))
+        rho = np.abs(rest_y @ rest_t)
+        null = np.array([np.abs(rest_y[np.random.default_rng(k).permutation(len(y))] @ rest_t[:, :of_null]).mean() for k in range(permutations)])
+        return {"conf_dim": w.shape[1], "mean_rho": float(rho.mean()), "max_rho": float(rho.max()), "p": float(((null >= rho.mean()).sum() + 1) / (permutations + 1))}
+
+    return per_group(levels, ["city", "level"], work, "city string, level string, conf_dim long, mean_rho double, max_rho double, p double")
+
+
+def regression_sensitivity(df: DataFrame) -> DataFrame:
+    """(city, n, tau, se, t, r2_full, r2_rest, partial_r2, robustness): a regression of the outcome on a text norm above its median and the confounders, and how strong a confounder must be to explain it."""
+
+    def work(pdf: pd.DataFrame) -> dict:
+        t, w, y = _arrays(pdf)
+        norm = np.linalg.norm(standardise(principal(t, min(20, t.shape[1], len(t) - 2))), axis=1)
+        d, n = (norm > np.median(norm)).astype(float), len(y)
+        fits = []
+        for x in (np.column_stack([np.ones(n), d, w]), np.column_stack([np.ones(n), w])):
+            b = np.linalg.lstsq(x, y, rcond=None)[0]
+            fits.append((b, r2(y, x @ b), y - x @ b))
+        (b, full, rest), bare = fits[0], fits[1][1]
+        se = float(np.sqrt((rest**2).sum() / (n - 1 - w.shape[1])) / np.sqrt(((d - d.mean()) ** 2).sum()))
+        tau = float(b[1])
+        return {"n": n, "tau": tau, "se": se, "t": tau / se if se else None, "r2_full": full, "r2_rest": bare, "partial_r2": (full - bare) / (1 - bare) if bare < 1 else None, "robustness": regression_robustness(tau, se)}
+
+    return per_group(df, ["city"], work, "city string, n long, tau double, se double, t double, r2_full double, r2_rest double, partial_r2 double, robustness double")
+
+
+def model_verdicts(df: DataFrame, components_kept: int = 10) -> DataFrame:
+    """(city, own_r2, carried_r2, bare, adjusted, portability, stability, verdict): how a city's model does elsewhere, how an effect shrinks under confounders, and which causal model both speak for. Three results of a row a city are put together on the driver."""
+    moved = transfer(df, components_kept).collect()  # a row a pair of cities
+    levels = escalation(df.select("city", "id", "emb", "y", "label", "lat", "lon", "w"), ["bare", "all"], last_all=True).collect()
+    rows = []
+    for city in sorted({r["source"] for r in moved}):
+        own = next(r["r2"] for r in moved if r["source"] == city == r["target"])
+        others = [r["r2"] for r in moved if r["source"] == city != r["target"]]
+        carried = float(np.mean(others)) if others else own
+        bare, adjusted = (next(r["ate"] for r in levels if r["city"] == city and (r["n_confounders"] > 0) == k) for k in (False, True))
+        port, stable = portability(own, carried), stability(bare, adjusted)
+        rows.append((city, own, carried, bare, adjusted, port, stable, verdict(port, stable)))
+    return df.sparkSession.createDataFrame(rows, "city string, own_r2 double, carried_r2 double, bare double, adjusted double, portability string, stability string, verdict string")
+
+
+def embedding_effects(df: DataFrame, vectors: list[str]) -> DataFrame:
+    """(model, city, n, theta, se, ci_low, ci_high): the effect with each of several embeddings of the same texts, a model and city to a task; a model's vectors may be of any size."""
+    parts = [df.withColumn("emb", F.transform(v, lambda x: x.cast("double"))).withColumn("model", F.lit(v)).select("model", "city", "id", "emb", "w", "y") for v in vectors]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionAll(p)
+
+    def work(pdf: pd.DataFrame) -> dict:
+        t, w, y = _arrays(pdf)
+        pc, w = standardise(principal(t, 1))[:, 0], standardise(w)
+        make = lambda: Boosted(**QUICK)
+        theta, se, _ = effect(y - cross_fit(w, y, make=make), pc - cross_fit(w, pc, make=make))
+        return {"n": len(y), "theta": theta, "se": se, "ci_low": theta - 1.96 * se, "ci_high": theta + 1.96 * se}
+
+    return per_group(rows, ["model", "city"], work, "model string, city string, n long, theta double, se double, ci_low double, ci_high double")
+
+
+def ablation(df: DataFrame, whole: str, ablated: str, k: int = 20) -> DataFrame:
+    """(texts, nmi, accuracy): how much labels are in the embeddings of whole texts and of texts without place names; df has id, city, label and both vectors."""
+    out = []
+    for name, v in (("whole", whole), ("ablated", ablated)):
+        rows = df.withColumn("emb", F.col(v))
+        nmi = cluster_label_nmi(rows, k, 1).select("nmi")
+        acc = label_accuracy(rows.withColumn("city", F.lit("all")).withColumn("emb", F.transform("emb", lambda x: x.cast("double")))).select("accuracy")
+        out.append(nmi.crossJoin(acc).select(F.lit(name).alias("texts"), "nmi", "accuracy"))  # one row each
+    return out[0].unionAll(out[1])
+
+
+def price_models(df: DataFrame, structured: str = "w", vector: str = "emb", k: int = 5, trees: int = 60, depth: int = 4, seed: int = 42) -> DataFrame:
+    """(city, model, mae, mae_sd, mape, mape_sd): errors over folds, on the scale of prices, of boosted trees on structured columns and on these with the embedding's components."""
+    both = df.withColumn("model", F.explode(F.array(F.lit("structured"), F.lit("with_text"))))
+
+    def work(pdf: pd.DataFrame) -> dict:
+        t, w, y = _arrays(pdf)
+        x = w if pdf["model"].iloc[0] == "structured" else np.column_stack([w, principal(t, min(20, t.shape[1], len(t) - 1))])
+        at, p = folds_of(len(y), k, seed), np.exp(cross_fit(x, y, k, seed, lambda: Boosted(trees, depth, seed=seed)))
+        off = np.abs(p - np.exp(y))
+        mae, mape = ([float(e[at == f].mean()) for f in range(k) if (at == f).any()] for e in (off, off / np.maximum(np.exp(y), 1.0)))
+        return {"mae": float(np.mean(mae)), "mae_sd": float(np.std(mae, ddof=1)), "mape": float(np.mean(mape)), "mape_sd": float(np.std(mape, ddof=1))}
+
+    return per_group(both, ["city", "model"], work, "city string, model string, mae double, mae_sd double, mape double, mape_sd double")
+
+
+def style_and_embedding(df: DataFrame, style: str, vector: str) -> DataFrame:
+    """(city, side, classes, accuracy, baseline): how well labels are told from a text's style and from its embedding."""
+    parts = [label_accuracy(df.withColumn("emb", F.transform(c, lambda x: x.cast("double")))).select("city", F.lit(side).alias("side"), "classes", "accuracy", "baseline") for side, c in (("style", style), ("embedding", vector))]
+    return parts[0].unionAll(parts[1])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotweave.functions.geo import let
 from lotweave.functions.text import SLOTS, slots, slots_match, without_places
 
 #: The arms of an experiment, and what each asks of a generator.
@@ -63,3 +64,114 @@ def rewrites(df: DataFrame, key: str, text: str, target: Column, generate: Calla
 def pass_rates(checked: DataFrame) -> DataFrame:
     """(arm, n, facts_kept, fluent, passed): shares of an arm's rewrites that pass each check."""
     return checked.groupBy("arm").agg(F.count("*").alias("n"), *[F.avg(F.col(c).cast("double")).alias(c) for c in ("facts_kept", "fluent", "passed")])
+
+
+#: The submarket a zip belongs to, the zip that stands for a submarket, and the submarket of all other zips.
+SUBMARKETS = {94110: "Mission District", 94103: "SoMa", 94114: "Castro", 94131: "Noe Valley", 94121: "Richmond", 94122: "Sunset", 94123: "Marina", 94115: "Pacific Heights", 94109: "Pacific Heights", 94107: "SoMa", 94105: "SoMa"}
+SUBMARKET_ZIPS = {"Mission District": 94110, "SoMa": 94103, "Castro": 94114, "Noe Valley": 94131, "Richmond": 94121, "Sunset": 94122, "Marina": 94123, "Pacific Heights": 94115}
+OTHER_SUBMARKET = "Mission District"
+
+
+def _looked_up(table: dict, key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+
+
+def submarket(code: Column) -> Column:
+    """The submarket of a zip, a default for those without one."""
+    return F.coalesce(_looked_up(SUBMARKETS, code.try_cast("int")), F.lit(OTHER_SUBMARKET))
+
+
+def submarket_zip(name: Column) -> Column:
+    """The zip that stands for a submarket; null for an unknown one."""
+    return _looked_up(SUBMARKET_ZIPS, name)
+
+
+def swap_targets(own: Column, k: int = 3) -> Column:
+    """The first k submarkets other than one's own."""
+    return F.slice(F.filter(F.array(*[F.lit(s) for s in SUBMARKET_ZIPS]), lambda s: ~s.eqNullSafe(own)), 1, k)
+
+
+def aligned(texts: DataFrame, known: DataFrame, values: list[str], order: Column) -> DataFrame:
+    """texts(address, zip, ...) with values of the last row of known (in the order, which must be total) with its address and zip, case and blanks at the ends aside; else the means of all rows, and whether one matched."""
+    key = lambda: [F.lower(F.trim("address")).alias("_a"), F.col("zip").try_cast("int").alias("_z")]
+    last = known.select(*key(), F.struct(*values).alias("_v"), order.alias("_o")).where("_a is not null and _z is not null").groupBy("_a", "_z").agg(F.max_by("_v", "_o").alias("_v"))
+    means = known.agg(*[F.avg(v).alias(f"_m_{v}") for v in values])
+    t = texts.select("*", *key())
+    out = t.join(last, ["_a", "_z"], "left").crossJoin(F.broadcast(means))  # one row
+    return out.select(*[F.col(c) for c in texts.columns], *[F.coalesce(F.col("_v")[v].cast("double"), F.col(f"_m_{v}")).alias(v) for v in values], F.col("_v").isNotNull().alias("matched"))
+
+
+def text_vector(c: Column, size: int = 64, seed: int = 0) -> Column:
+    """An encoder that needs no model: words, hashed with a sign into ``size`` numbers and scaled to length 1; zeros for a text without words."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    hashes = F.transform(words, lambda w: F.xxhash64(w, F.lit(seed)))
+    places = F.transform(hashes, lambda h: F.struct(F.pmod(h, F.lit(size)).alias("i"), F.when(h % 3 == 0, -1.0).otherwise(1.0).alias("s")))
+
+    def sums(places: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(places, F.lit(0.0), lambda a, p: a + F.when(p["i"] == i, p["s"]).otherwise(0.0)))
+
+    def scaled(v: Column) -> Column:
+        return let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+
+    return let(let(places, sums), scaled)  # each step once
+
+
+def text_direction(df: DataFrame, vector: str, y: str, confounders: list[str], key: str) -> dict:
+    """A linear text effect to score rewrites with: the first component of vectors (mean, loadings, scale), the effect of its scaled score on y given the
+    confounders, cross-fitted, with its error, and a linear prediction of y from the confounders. All come from sums over the rows; d (d + 3) / 2 numbers go to the driver."""
+    import numpy as np
+
+    from lotweave.operators.audit import first_component
+    from lotweave.operators.estimate import linear_residuals, moments, partial_linear
+
+    mean, load = first_component(df, vector)
+    score = F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in load]), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) - float(mean @ load)
+    s = df.agg(F.stddev_pop(score).alias("s")).first()["s"] or 1.0
+    rows = df.withColumn("_t", score / float(s))
+    fit = partial_linear(linear_residuals(rows, key, y, "_t", confounders)).first()
+    m = moments(rows, [*confounders, y])[None]
+    p = len(confounders) + 1
+    scale = np.sqrt(np.maximum(np.diag(m)[:p], 1e-300))
+    beta = np.linalg.solve(m[:p, :p] / np.outer(scale, scale) + 1e-8 * np.eye(p), m[:p, p] / scale) / scale
+    return {"mean": mean, "load": load, "scale": float(s), "theta": fit["theta"] or 0.0, "se": fit["se"], "beta": beta}
+
+
+def scored(df: DataFrame, vector: str, confounders: list[str], fit: dict) -> DataFrame:
+    """df with ``baseline``, the outcome predicted from the confounders, and ``predicted``, with the effect of the text's vector added; nothing is collected."""
+    dot = lambda a: F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in a]), lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x)
+    base = F.lit(float(fit["beta"][0]))
+    for b, c in zip(fit["beta"][1:], confounders):
+        base = base + float(b) * F.col(c).cast("double")
+    text = (dot(fit["load"]) - float(fit["mean"] @ fit["load"])) / fit["scale"] * float(fit["theta"])
+    return df.withColumn("baseline", base).withColumn("predicted", F.col("baseline") + text)
+
+
+def arm_effects(changes: DataFrame, arm: str, key: str, change: str, resamples: int = 2000) -> DataFrame:
+    """(arm, n, mean_change, low, high, percent): each arm's mean change with an interval over resamples, and what it implies in percent.
+
+    Resamples weigh rows by Poisson(1) numbers from a hash of key and resample, so they are sums before the shuffle and the same in any engine.
+    """
+    from lotweave.operators.estimate import poisson_weight
+
+    rows = changes.where(F.col(change).isNotNull())
+    drawn = rows.select(arm, key, change, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("_k", poisson_weight(F.col(key), F.col("b")))
+    means = drawn.groupBy(arm, "b").agg(F.try_divide(F.sum(F.col(change) * F.col("_k")), F.sum("_k")).alias("m"))
+    ends = means.groupBy(arm).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    out = rows.groupBy(arm).agg(F.count("*").alias("n"), F.avg(change).alias("mean_change")).join(ends, arm)
+    return out.select(arm, "n", "mean_change", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), ((F.exp("mean_change") - 1) * 100).alias("percent"))
+
+
+def label_classifier(df: DataFrame, text: str, label: str, size: int = 4096, least: int = 2, strength: float = 1.0):
+    """A pipeline model that tells a text's label: words and pairs, hashed, weighted by rarity (terms in fewer than ``least`` texts count nothing), scaled to length 1, and a multinomial logistic regression. Fitted over tasks; df has a row a text."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, IndexToString, Normalizer, SQLTransformer, StringIndexer
+
+    rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+    n = rows.count()
+    names = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip").fit(rows)
+    pairs = SQLTransformer(statement="select *, concat(_words, if(size(_words) > 1, transform(sequence(1, size(_words) - 1), i -> concat(_words[i - 1], ' ', _words[i])), cast(array() as array<string>))) as _terms from __THIS__")
+    words = SQLTransformer(statement=f"select *, regexp_extract_all(lower(coalesce(`{text}`, '')), r'([\\p{{L}}\\p{{N}}_]{{2,}})', 1) as _words from __THIS__")
+    stages = [words, pairs, HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=size), IDF(inputCol="_tf", outputCol="_idf", minDocFreq=least), Normalizer(inputCol="_idf", outputCol="_v")]
+    stages += [names, LogisticRegression(featuresCol="_v", labelCol="_label", regParam=1 / (strength * max(n, 1)), maxIter=50, standardization=False, predictionCol="_p", rawPredictionCol="_raw", probabilityCol="_prob"), IndexToString(inputCol="_p", outputCol="told", labels=names.labels)]
+    return Pipeline(stages=stages).fit(rows)

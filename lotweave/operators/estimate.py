@@ -150,18 +150,23 @@ def strongest_covariates(res: DataFrame, w: list[str], top: int = 5) -> DataFram
     return s.where(sxx > 0).select("covariate", r2["y"].alias("r2_y"), r2["t"].alias("r2_t")).orderBy((F.col("r2_y") * F.col("r2_t")).desc(), "covariate").limit(top)
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, resamples: int = 200, seed: int = 7, bounds: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
-    """One row (mean, low, high): percentile interval of the mean over resamples with Poisson(1) weights.
-
-    Weights are a hash of key, resample and seed, so any engine draws the same; resamples are summed before the shuffle.
-    """
-    u = hash_number(F.concat_ws("#", F.col(key).cast("string"), F.col("b").cast("string")), seed, 7) / F.lit(float(16**7))
+def poisson_weight(key: Column, resample: Column, seed: int = 7) -> Column:
+    """How often a row is drawn in a resample: a Poisson(1) number, at most 8, from a hash of key, resample and seed, the same in any engine."""
+    u = hash_number(F.concat_ws("#", key.cast("string"), resample.cast("string")), seed, 7) / F.lit(float(16**7))
     cdf, p, out = 0.0, float(np.exp(-1)), None
     for n in range(8):
         cdf += p
         out = F.when(u < cdf, n) if out is None else out.when(u < cdf, n)
         p /= n + 1
-    drawn = df.select(key, F.col(value).alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("_k", out.otherwise(8))
+    return out.otherwise(8)
+
+
+def bootstrap_mean(df: DataFrame, key: str, value: str, resamples: int = 200, seed: int = 7, bounds: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
+    """One row (mean, low, high): percentile interval of the mean over resamples with Poisson(1) weights.
+
+    Weights are a hash of key, resample and seed, so any engine draws the same; resamples are summed before the shuffle.
+    """
+    drawn = df.select(key, F.col(value).alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("_k", poisson_weight(F.col(key), F.col("b"), seed))
     means = drawn.groupBy("b").agg((F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("m"))
     ends = means.agg(F.percentile("m", F.array(F.lit(bounds[0]), F.lit(bounds[1]))).alias("q"))
     return df.agg(F.avg(value).alias("mean")).crossJoin(ends).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # one row each
@@ -244,3 +249,68 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     h = [entropy(d, o) for d, o in ((t, "h_ab"), (t.groupBy(a).agg(F.sum("n").alias("n")), "h_a"), (t.groupBy(b).agg(F.sum("n").alias("n")), "h_b"))]
     out = h[0].crossJoin(h[1]).crossJoin(h[2]).withColumn("mi", F.greatest(F.col("h_a") + F.col("h_b") - F.col("h_ab"), F.lit(0.0)))  # one row each
     return out.select("mi", "h_a", "h_b", F.when(F.col("h_a") + F.col("h_b") > 0, 2 * F.col("mi") / (F.col("h_a") + F.col("h_b"))).otherwise(1.0).alias("nmi"))
+
+
+def index_bootstrap(df: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 42, bounds: tuple[float, float] = (0.025, 0.975), most: int = 100_000) -> DataFrame:
+    """One row (mean, low, high): percentile interval of the mean over resamples of row numbers, n of n with replacement; a resample to a task.
+
+    The values are shared with all tasks, so more than ``most`` are refused; bootstrap_mean() takes any number.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).cast("double").alias("v")).orderBy(key).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} values; use bootstrap_mean()")
+    shared, n = spark.sparkContext.broadcast(np.array([r["v"] for r in rows])), len(rows)  # at most ``most`` numbers
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = [float(shared.value[np.random.default_rng([seed, int(b)]).integers(0, n, n)].mean()) if n else None for b in pdf["id"]]
+            yield pd.DataFrame({"m": pd.Series(out, dtype="float64")})
+
+    means = spark.range(resamples, numPartitions=min(resamples, 64)).mapInPandas(run, "m double")
+    ends = means.agg(F.percentile("m", F.array(F.lit(bounds[0]), F.lit(bounds[1]))).alias("q"))
+    return df.agg(F.avg(value).alias("mean")).crossJoin(ends).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # one row each
+
+
+def stratified_folds(df: DataFrame, key: str, stratum: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+    """df with a fold from 0 to k - 1 such that each stratum's rows, in the order of a hash, are dealt out in turn; folds of a stratum differ by a row at most. Ranks are exact over hash ranges; null strata are one."""
+    h = hash_number(F.col(key), seed)
+    rows = df.select(key, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_s"), h.alias("_h"), F.shiftright(h, 24).cast("int").alias("_b"))
+    n = rows.groupBy("_s", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.join(n.withColumn("_before", before).drop("_n"), ["_s", "_b"]).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key)) - 1)
+    return df.join(ranked.select(key, F.pmod("_r", F.lit(k)).cast("int").alias(out)), key)
+
+
+def beta_priors(spark, theta: float, scale: float, draws: int = 50_000, a: float = 2.0, b: float = 8.0, threshold: float = 0.05, seed: int = 42) -> DataFrame:
+    """One row (p_exceeds, q025, q250, q500, q750, q975): the estimate moved towards zero by the bias of a confounder whose strengths on both sides are drawn from Beta(a, b)."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for part in pdf["id"]:
+                rng, n = np.random.default_rng([seed, int(part)]), draws // 16 + (int(part) < draws % 16)
+                y, d = rng.beta(a, b, n), rng.beta(a, b, n)
+                yield pd.DataFrame({"t": theta - np.where(theta >= 0, 1.0, -1.0) * scale * y * d / np.sqrt(np.maximum(1 - d**2, 1e-12))})
+
+    rows = spark.range(16, numPartitions=16).mapInPandas(run, "t double")
+    cuts = [0.025, 0.25, 0.5, 0.75, 0.975]
+    s = rows.agg(F.avg((F.abs("t") > threshold).cast("double")).alias("p_exceeds"), F.percentile("t", F.array(*[F.lit(q) for q in cuts])).alias("q"))
+    return s.select("p_exceeds", *[F.col("q")[i].alias(f"q{int(c * 1000):03}") for i, c in enumerate(cuts)])
+
+
+def two_sample_distance(df: DataFrame, part: str, a: str, b: str, columns: list[str]) -> DataFrame:
+    """(measure, n_a, n_b, median_a, median_b, ks): medians of two parts, and the largest gap between their distribution functions.
+
+    Rows are counted by value first; the running sums go over the distinct values of a measure.
+    """
+    long = df.where(F.col(part).isin(a, b)).select(F.col(part).alias("_p"), F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")).select("_p", "r.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    n = long.groupBy("measure").agg(F.count_if(F.col("_p") == a).alias("n_a"), F.count_if(F.col("_p") == b).alias("n_b"), F.median(F.when(F.col("_p") == a, F.col("v"))).alias("median_a"), F.median(F.when(F.col("_p") == b, F.col("v"))).alias("median_b"))
+    steps = long.groupBy("measure", "v").agg(F.count_if(F.col("_p") == a).alias("ka"), F.count_if(F.col("_p") == b).alias("kb"))
+    run = Window.partitionBy("measure").orderBy("v")
+    gaps = steps.withColumns({"ca": F.sum("ka").over(run), "cb": F.sum("kb").over(run)}).join(n, "measure")
+    ks = gaps.groupBy("measure").agg(F.max(F.abs(F.try_divide("ca", "n_a") - F.try_divide("cb", "n_b"))).alias("ks"))
+    return n.join(ks, "measure").select("measure", "n_a", "n_b", "median_a", "median_b", "ks")

@@ -65,3 +65,15 @@ def minimal_sets(edges: list[tuple[str, str]], a: str, b: str) -> list[set[str]]
 def path_table(spark: SparkSession, edges: list[tuple[str, str]], a: str, b: str, given: set[str]) -> DataFrame:
     """(path, blocked)"""
     return spark.createDataFrame([("-".join(p), blocked(edges, p, given)) for p in paths(edges, a, b)], "path string, blocked boolean")
+
+
+def directed_paths(edges: list[tuple[str, str]], a: str, b: str) -> list[list[str]]:
+    """The simple paths from a to b along the arrows; none means that a does nothing to b."""
+    have = set(edges)
+    return [p for p in paths(edges, a, b) if all(step in have for step in zip(p, p[1:]))]
+
+
+def is_backdoor_set(edges: list[tuple[str, str]], a: str, b: str, given: set[str]) -> bool:
+    """Whether a set blocks every path into a, and nothing below a is in it."""
+    into = [p for p in paths(edges, a, b) if (p[1], a) in set(edges)]
+    return not (below(edges, a) - {a}) & given and all(blocked(edges, p, given) for p in into)

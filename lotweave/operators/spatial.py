@@ -115,3 +115,25 @@ def grid_labels(df: DataFrame, lat: str = "latitude", lon: str = "longitude", bi
 
     return df.crossJoin(F.broadcast(e)).withColumn(out, F.concat_ws("_", bin_of(lat, "a0", "a1"), bin_of(lon, "o0", "o1"))).drop("a0", "a1", "o0", "o1")  # one row
 
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays of numbers."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def length(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def euclid(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+
+def price_check(asked: DataFrame, recorded: DataFrame, asked_id: str, recorded_id: str, asked_price: str, recorded_price: str, radii: list[int]) -> DataFrame:
+    """(radius, n, rho, median_ratio, sd_log): of asked prices and the price recorded nearest to each, ties by id, within each radius in metres: correlation of logarithms, median ratio, spread of the log difference."""
+    hit = near(asked, recorded, float(max(radii))).select(F.col(f"p.{asked_id}").alias("_p"), F.col(f"p.{asked_price}").alias("_a"), F.struct("metres", F.col(f"t.{recorded_id}").alias("i"), F.col(f"t.{recorded_price}").alias("v")).alias("_n"))
+    one = hit.groupBy("_p").agg(F.first("_a").alias("_a"), F.min("_n").alias("_n"))
+    within = one.withColumn("radius", F.explode(F.filter(F.array(*[F.lit(r) for r in radii]), lambda r: F.col("_n.metres") <= r)))
+    a, b = F.ln("_a"), F.ln("_n.v")
+    return within.groupBy("radius").agg(F.count("*").alias("n"), F.corr(a, b).alias("rho"), F.median(F.col("_n.v") / F.col("_a")).alias("median_ratio"), F.stddev_samp(b - a).alias("sd_log"))

@@ -166,3 +166,30 @@ def release(df: DataFrame, drop: list[str], vector: str | None = None, prefix: s
     """df without the columns that may not be published, and a vector as numbered columns."""
     out = df.drop(*[c for c in drop if c in df.columns])
     return out if vector is None else out.select(*[c for c in out.columns if c != vector], *[F.col(vector)[i].alias(f"{prefix}{i}") for i in range(size)])
+
+
+def summary(df: DataFrame, group: str, c: str) -> DataFrame:
+    """(group, n, mean, median, sd, low, high) of a column's values that are there."""
+    v = F.when(~F.isnan(c), F.col(c))
+    return df.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+def match_rates(df: DataFrame, group: str, conditions: dict[str, Column]) -> DataFrame:
+    """(group, n, a share for each condition): how often each holds; a null one doesn't."""
+    return df.groupBy(group).agg(F.count("*").alias("n"), *[F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(name) for name, c in conditions.items()])
+
+
+def without_columns_unmatched(df: DataFrame, flag: str, prefix: str, least: float = 0.5) -> DataFrame:
+    """df without the columns of a prefix, where the flag holds for less than ``least`` of the rows that have it; decided from one aggregated row."""
+    rate = df.agg(F.avg(F.col(flag).cast("double")).alias("r")).first()["r"]
+    return df.drop(*[c for c in df.columns if c.startswith(prefix) and c != flag]) if rate is not None and rate < least else df
+
+
+def with_columns_of(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """df beside other's columns, row by row by their key; rows of df alone have nulls. other has each key once; else use left_join_one()."""
+    return df.join(other, key, "left")
+
+
+def large_shapes(df: DataFrame, area: Column, polygon: Column, least: float) -> DataFrame:
+    """Rows that aren't polygons, and polygons of at least so large an area."""
+    return df.where(~F.coalesce(polygon, F.lit(False)) | (area >= least))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 import sqlite3
 import struct
@@ -115,7 +114,7 @@ def page_description(pages: pd.Series) -> pd.Series:
             return None
         f = _Finder()
         f.feed(page)
-        texts = (re.sub(r"\s+", " ", html.unescape(" ".join(t))).strip() for t in f.found if t is not None)
+        texts = (re.sub(r"\s+", " ", " ".join(t)).strip() for t in f.found if t is not None)
         return next((t for t in texts if t), None)
 
     return pages.map(one)
