@@ -128,3 +128,14 @@ e as (select id, len(t) as n, unnest(t) as t from t),
 both_ as (select a.id as id_a, b.id as id_b, count(*) as k, any_value(a.n) as n, any_value(b.n) as m from e a join e b on a.t = b.t and a.id < b.id group by 1, 2)
 select id_a, id_b from both_ where k / (n + m - k) >= 0.6
 """
+SQL["p7_groups"] = """
+with recursive w as (select doc_id as id, list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as w from documents where text is not null),
+r as (select id, unnest(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) as run from w where len(w) >= 5),
+b as (select id, run, count(*) as c from r group by all), bag as (select id, md5(string_agg(run || ':' || c, '|' order by run)) as h, sum(c) as n from b group by id),
+cls as (select id, n, min(id) over (partition by h) as rep from bag), rb as (select b.*, n from b join cls using (id) where cls.id = rep),
+k as (select x.id as a, y.id as b, sum(least(x.c, y.c)) as k, any_value(x.n) as n, any_value(y.n) as m from rb x join rb y on x.run = y.run and x.id < y.id group by 1, 2),
+links as (select a, b from k where k / (n + m - k) >= 0.8), both_ways as (select a, b from links union all select b, a from links),
+reach(n, m) as (select a, a from both_ways union select r.n, e.b from reach r join both_ways e on r.m = e.a), root as (select n, min(m) as r from reach group by n),
+ends as (select a, count(*) as links from both_ways group by a)
+select id, rep, coalesce(r, rep) as "group", coalesce(links, 0) as links from cls left join root on rep = n left join ends on rep = a
+"""

@@ -238,6 +238,35 @@ def test_near_duplicates_against_all_pairs(spark, scratch):
     assert neardup.NearDuplicates(df.limit(0), scratch, "i", "t").pairs().count() == 0
 
 
+def test_planted_bags_are_all_found(spark, scratch):
+    """800 texts that repeat sentences 2 to 9 times, in families whose members repeat them more or less often: all links at a weighted similarity of 0.8 are found, and no other."""
+    r, texts = random.Random(11), []
+    for f in range(100):
+        sentences = [" ".join(f"f{f}w{r.randint(0, 400)}" for _ in range(r.randint(8, 14))) for _ in range(6)]
+        times = [r.randint(2, 9) for _ in sentences]
+        for _ in range(8):
+            mine = [max(0, n + r.choice([0, 0, 0, 0, 1, -1])) for n in times]
+            texts.append((f, " ".join(s for s, n in zip(sentences, mine) for _ in range(n))))
+    bags = []
+    for _, t in texts:
+        e, c = neardup.shingles(t, 5)
+        bags.append(dict(zip(e.tolist(), c.tolist())))
+    want, first = set(), {}
+    for i, b in enumerate(bags):
+        first.setdefault(tuple(sorted(b.items())), i)
+    reps = sorted(first.values())
+    for i, j in itertools.combinations(reps, 2):
+        if texts[i][0] == texts[j][0]:
+            both = sum(min(n, bags[j].get(k, 0)) for k, n in bags[i].items())
+            if both / (sum(bags[i].values()) + sum(bags[j].values()) - both) >= 0.8:
+                want.add((i, j))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "id long, t string")
+    found = neardup.NearDuplicates(df, scratch, "id", "t", counted=True)
+    got = {(x["rep_a"], x["rep_b"]) for x in found.links.collect()}
+    print(len(want), len(got & want))
+    assert len(want) > 300 and got == want
+
+
 # ---- places
 
 
