@@ -38,20 +38,23 @@ def message_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def identify(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """df, written, with ``_message`` (the same for all deliveries of one message, null if it has no identifier) and ``_tag`` (unique).
+def identify(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows, names): df, written once with ``_tag``, unique; and (_tag, delivered_at, delivery_id, _message), the message the same for all its deliveries, null if one has no identifier.
 
     Only a place that some delivery without a url has can tie deliveries together. Its distinct pairs
     with homes are the edges whose components carry the ties over; all other deliveries keep their own identifier.
+    Other columns than those of the identifiers stay out of every join.
     """
-    rows = message_keys(df).withColumns({"_key": F.coalesce("_home", "_place"), "_tag": F.monotonically_increasing_id()})
-    rows = scratch.cut(rows)
-    live = rows.where("_loose and _place is not null").select("_place").distinct()
-    pairs = rows.where("not _loose and _place is not null").select("_home", "_place").distinct()
+    rows = scratch.cut(df.withColumn("_tag", F.monotonically_increasing_id()))
+    slim = message_keys(rows.select("_tag", "delivered_at", "delivery_id", "address", "city_name", "price", "url"))
+    slim = scratch.cut(slim.select("_tag", "delivered_at", "delivery_id", "_home", "_place", "_loose"))
+    live = slim.where("_loose and _place is not null").select("_place").distinct()
+    pairs = slim.where("not _loose and _place is not null").select("_home", "_place").distinct()
     edges = pairs.join(live, "_place", "left_semi").select(F.col("_home").alias("u"), F.col("_place").alias("v"))
     roots = connected_components(edges, scratch).select(F.col("node").alias("_key"), "root")
-    tied = rows.join(scratch.cut(roots), "_key", "left")
-    return tied.select(*df.columns, "_tag", F.coalesce("root", "_key").alias("_message"))
+    keyed = slim.select("_tag", "delivered_at", "delivery_id", F.coalesce("_home", "_place").alias("_key"))
+    tied = keyed.join(scratch.cut(roots), "_key", "left")
+    return rows, scratch.cut(tied.select("_tag", "delivered_at", "delivery_id", F.coalesce("root", "_key").alias("_message")))
 
 
 def split_deliveries(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -62,18 +65,15 @@ def split_deliveries(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     A delivery without url and place is a message of its own. Empty tables give empty tables.
 
     Identifiers are split by their aggregated frequency: those of one delivery pass as they are, only
-    repeated ones are ranked, and both results are united. The rank needed is the first, so it is a
+    repeated ones are ranked, and the rest of both is what is kept. The rank needed is the first, so it is a
     minimum, which is aggregated before the shuffle and never gathers a hot message in one task.
     """
-    rows = scratch.cut(identify(df, scratch))
+    rows, names = identify(df, scratch)
     order = F.struct(F.col("delivered_at").isNull(), "delivered_at", F.col("delivery_id").isNull(), "delivery_id", "_tag")
-    counts = rows.where("_message is not null").groupBy("_message").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    counts = names.where("_message is not null").groupBy("_message").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
     repeated = counts.where("_n > 1").select("_message", F.col("_first._tag").alias("_keep"))
-    marked = rows.join(repeated, "_message", "left")
-    single = marked.where("_keep is null")
-    ranked = marked.where("_keep is not null")
-    kept = single.unionAll(ranked.where("_tag = _keep")).select(*df.columns)
-    return kept, ranked.where("_tag <> _keep").select(*df.columns)
+    later = scratch.cut(names.select("_message", "_tag").join(repeated, "_message").where("_tag <> _keep").select("_tag"))
+    return rows.join(later, "_tag", "left_anti").select(*df.columns), rows.join(later, "_tag", "left_semi").select(*df.columns)
 
 
 def fold_batch(stored: DataFrame, batch: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -15,8 +15,8 @@ def _there(lat: str, lon: str) -> Column:
     return F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
 
 
-def near(points: DataFrame, targets: DataFrame, metres: float, lat: str = "latitude", lon: str = "longitude", sphere: float | None = None) -> DataFrame:
-    """Pairs of a point and a target at most ``metres`` apart along a sphere: (p: the point's row, t: the target's row, metres).
+def near(points: DataFrame, targets: DataFrame, metres: float, lat: str = "latitude", lon: str = "longitude", sphere: float | None = None, kind: str | None = None) -> DataFrame:
+    """Pairs of a point and a target at most ``metres`` apart along a sphere, and of the same ``kind`` if a column is named: (p: the point's row, t: the target's row, metres).
 
     Targets, best the smaller side, are listed in the few cells around them; points stay in their one cell and are not
     multiplied. The cells' equi-join is followed by the exact distance. A row without both coordinates is in no pair;
@@ -27,7 +27,10 @@ def near(points: DataFrame, targets: DataFrame, metres: float, lat: str = "latit
     a = points.where(_there(lat, lon)).select(F.struct(*points.columns).alias("p")).withColumn("cell", grid.cell(F.col(f"p.{lat}"), F.col(f"p.{lon}")))
     b = targets.where(_there(lat, lon)).select(F.struct(*targets.columns).alias("t")).withColumn("cell", F.explode(grid.around(F.col(f"t.{lat}"), F.col(f"t.{lon}"))))
     args = () if sphere is None else (sphere,)
-    pairs = a.join(b, "cell").withColumn("metres", great_circle_m(F.col(f"p.{lat}"), F.col(f"p.{lon}"), F.col(f"t.{lat}"), F.col(f"t.{lon}"), *args))
+    keys = ["cell"]
+    if kind:
+        a, b, keys = a.withColumn("_kind", F.col(f"p.{kind}")), b.withColumn("_kind", F.col(f"t.{kind}")), ["cell", "_kind"]
+    pairs = a.join(b, keys).withColumn("metres", great_circle_m(F.col(f"p.{lat}"), F.col(f"p.{lon}"), F.col(f"t.{lat}"), F.col(f"t.{lon}"), *args))
     return pairs.where(F.col("metres") <= metres).select("p", "t", "metres")
 
 

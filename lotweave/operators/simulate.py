@@ -9,11 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lotweave.operators.audit import ridge
 from lotweave.operators.estimate import hash_number
 from lotweave.operators.learners import Boosted, Network, cross_fit, effect, folds_of, principal, standardise
+from lotweave.operators.ranking import global_rank
+from lotweave.session import Scratch
 
 #: Slopes of the outcome on place and on the first confounder, and its noise.
 PLACE_SLOPE, CONFOUNDER_SLOPE, NOISE = 0.6, 0.4, 0.3
@@ -25,13 +26,11 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def place_scores(df: DataFrame, label: str, out: str = "z") -> DataFrame:
-    """df with its label's rank among the sorted labels, spread evenly over [-1, 1]; 0 for a single label. Only the distinct labels are ranked."""
-    labels = df.where(F.col(label).isNotNull()).select(label).distinct()
-    last = labels.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("_b"))
+    """df with its label's rank among the sorted labels, spread evenly over [-1, 1]; -1 for a single label. Only the distinct labels are ranked, over ranges."""
+    labels = global_rank(df.where(F.col(label).isNotNull()).select(label).distinct(), [F.col(label)], Scratch(df.sparkSession), "_r")
     many = labels.agg(F.count("*").alias("_n"))
-    ranked = labels.withColumn("_r", F.dense_rank().over(Window.orderBy(label)) - 1).crossJoin(F.broadcast(last)).crossJoin(F.broadcast(many))  # one row each
-    score = F.when(F.col("_n") == 1, -1.0).otherwise(2.0 * F.col("_r") / F.col("_b") - 1)
-    return df.join(ranked.select(label, score.alias(out)), label, "left")
+    score = F.when(F.col("_n") == 1, -1.0).otherwise(2.0 * F.col("_r") / (F.col("_n") - 1) - 1)
+    return df.join(labels.crossJoin(F.broadcast(many)).select(label, score.alias(out)), label, "left")  # one row
 
 
 def variance_share_slope(df: DataFrame, outcome: Column, projection: Column, share: float) -> DataFrame:

@@ -47,46 +47,51 @@ def densities(df: DataFrame, columns: list[str], radius_km: float) -> DataFrame:
     return df.withColumns({f"{c}_density": F.col(c) / (math.pi * radius_km**2) for c in columns})
 
 
-def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, scratch: Scratch, k: int = 1, start_m: float = 250.0, skip_self: bool = False, rounds: int = 12) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str, scratch: Scratch, k: int = 1, start_m: float = 250.0, skip_self: bool = False, rounds: int = 20, kind: str | None = None) -> DataFrame:
     """(point_id, target_id, metres, rank): the k nearest targets of each point, ties by target_id; fewer if there are not so many.
 
     Rings of growing radius: points that have k targets within the radius are done, for nothing outside is nearer; only
-    the others go on, with four times the radius, up to half the earth's girth. So the work follows the density of targets, and
+    the others go on, with twice the radius, after some rounds four times, up to half the earth's girth. So the work follows the density of targets, and
     no point is held against all targets but those that far. skip_self leaves out the target with the point's id.
+    With ``kind``, a column of both, only targets of a point's kind count, all kinds in the same rounds, and the kind is among the columns; points of a kind without targets are left out.
     """
     there = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & ~F.isnan("latitude") & ~F.isnan("longitude"))
-    left, done, radius = scratch.cut(there.select(point_id, "latitude", "longitude")), [], start_m
-    slim = targets.select(target_id, "latitude", "longitude")
-    for _ in range(rounds):
-        found = near(left, slim, min(radius, math.pi * EARTH_M)).select(F.col(f"p.{point_id}").alias("_p"), F.col(f"t.{target_id}").alias("_t"), "metres")
+    kinds = [kind] if kind else []
+    slim = targets.select(target_id, "latitude", "longitude", *kinds)
+    if kind:
+        there = there.join(slim.where("latitude is not null and longitude is not null").select(kind).distinct(), kind, "left_semi")
+    left, done, radius = scratch.cut(there.select(point_id, "latitude", "longitude", *kinds)), [], start_m
+    keys = ["_p", *["_k" for _ in kinds]]
+    for turn in range(rounds):
+        found = near(left, slim, min(radius, math.pi * EARTH_M), kind=kind)
+        found = found.select(F.col(f"p.{point_id}").alias("_p"), F.col(f"t.{target_id}").alias("_t"), "metres", *[F.col(f"p.{c}").alias("_k") for c in kinds])
         if skip_self:
             found = found.where("_p <> _t")
         if k == 1:
-            best = found.groupBy("_p").agg(F.array(F.min(F.struct("metres", "_t"))).alias("b"))
+            best = found.groupBy(*keys).agg(F.array(F.min(F.struct("metres", "_t"))).alias("b"))
         else:  # the rank limit is applied before the shuffle too, so no crowded circle is gathered
-            ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("metres", "_t"))).where(F.col("_r") <= k)
-            best = ranked.groupBy("_p").agg(F.array_sort(F.collect_list(F.struct("metres", "_t"))).alias("b"))
+            ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("metres", "_t"))).where(F.col("_r") <= k)
+            best = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("metres", "_t"))).alias("b"))
         best = scratch.cut(best.where(F.size("b") >= k) if radius < math.pi * EARTH_M else best)
         done.append(best)
         if radius >= math.pi * EARTH_M:
             break
-        left = scratch.cut(left.join(best.select(F.col("_p").alias(point_id)), point_id, "left_anti"))
+        left = scratch.cut(left.join(best.select(F.col("_p").alias(point_id), *[F.col("_k").alias(c) for c in kinds]), [point_id, *kinds], "left_anti"))
         if left.isEmpty():
             break
-        radius *= 4
+        radius *= 2 if turn < 4 else 4
     rows = reduce(DataFrame.unionAll, done)
-    return rows.select(F.col("_p").alias(point_id), F.posexplode("b").alias("i", "r")).select(point_id, F.col("r._t").alias(target_id), F.col("r.metres").alias("metres"), (F.col("i") + 1).alias("rank"))
+    named = [F.col("_k").alias(c) for c in kinds]
+    return rows.select(F.col("_p").alias(point_id), *named, F.posexplode("b").alias("i", "r")).select(point_id, *kinds, F.col("r._t").alias(target_id), F.col("r.metres").alias("metres"), (F.col("i") + 1).alias("rank"))
 
 
 def nearest_by_category(points: DataFrame, targets: DataFrame, point_id: str, category: str, categories: list[str], scratch: Scratch, prefix: str = "dist_") -> DataFrame:
-    """(point_id, <prefix><category>_m): distance to the nearest target of each category, null where there is none."""
-    out = points.select(point_id)
-    for c in categories:
-        some = targets.where(F.col(category) == c).select(F.monotonically_increasing_id().alias("_tid"), "latitude", "longitude")
-        some = scratch.cut(some)
-        hit = nearest(points, some, point_id, "_tid", scratch).select(point_id, F.col("metres").alias(f"{prefix}{c}_m"))
-        out = out.join(hit, point_id, "left")
-    return out
+    """(point_id, <prefix><category>_m): distance to the nearest target of each category, null where there is none. The categories are searched side by side."""
+    some = scratch.cut(targets.where(F.col(category).isin(*categories)).select(F.monotonically_increasing_id().alias("_tid"), F.col(category).alias("_c"), "latitude", "longitude"))
+    each = points.select(point_id, "latitude", "longitude", F.explode(F.array(*[F.lit(c) for c in categories])).alias("_c"))
+    hit = nearest(each, some, point_id, "_tid", scratch, kind="_c")
+    wide = hit.groupBy(point_id).agg(*[F.min(F.when(F.col("_c") == c, F.col("metres"))).alias(f"{prefix}{c}_m") for c in categories])
+    return points.select(point_id).join(wide, point_id, "left")
 
 
 def take_over(points: DataFrame, donors: DataFrame, point_id: str, donor_id: str, columns: list[str], scratch: Scratch) -> DataFrame:

@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from lotweave.operators.ranking import global_rank
+from lotweave.session import Scratch
 
 
 def rename_and_drop(df: DataFrame, names: dict[str, str], drop: list[str] = ()) -> DataFrame:
@@ -140,10 +142,9 @@ def dense_columns(df: DataFrame, columns: list[str], most_missing: float = 0.5)
 
 
 def label_numbers(df: DataFrame, c: str, out: str) -> DataFrame:
-    """df with the number, from 0, of its label among the sorted distinct labels. Labels are few against rows: the numbering ranks only them."""
+    """df with the number, from 0, of its label among the sorted distinct labels. Only these are ranked, over ranges, in as many tasks as there are partitions."""
     labels = df.where(F.col(c).isNotNull()).select(c).distinct()
-    numbered = labels.withColumn(out, F.dense_rank().over(Window.orderBy(c)) - 1)
-    return df.join(numbered, c, "left")
+    return df.join(global_rank(labels, [F.col(c)], Scratch(df.sparkSession), out), c, "left")
 
 
 def hashed_indicators(df: DataFrame, number_col: str, bins: int, prefix: str) -> DataFrame:
