@@ -137,5 +137,5 @@ k as (select x.id as a, y.id as b, sum(least(x.c, y.c)) as k, any_value(x.n) as
 links as (select a, b from k where k / (n + m - k) >= 0.8), both_ways as (select a, b from links union all select b, a from links),
 reach(n, m) as (select a, a from both_ways union select r.n, e.b from reach r join both_ways e on r.m = e.a), root as (select n, min(m) as r from reach group by n),
 ends as (select a, count(*) as links from both_ways group by a)
-select id, rep, coalesce(r, rep) as "group", coalesce(links, 0) as links from cls left join root on rep = n left join ends on rep = a
+select id, rep, coalesce(r, rep) as "group", coalesce(links, 0) as links from cls left join root on rep = root.n left join ends on rep = a
 """
