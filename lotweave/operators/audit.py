@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.functions.numeric import calibrate, chi2_sf, portability, regression_robustness, severity, stability, verdict
+from lotweave.functions.numeric import calibrate, chi2_sf, portability, regression_robustness, stability, verdict
 from lotweave.operators.estimate import mutual_information
 from lotweave.operators.learners import Boosted, Network, cross_entropy, cross_fit, effect, folds_of, logistic, per_group, principal, probability, softmax, standardise
 

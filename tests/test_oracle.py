@@ -3,15 +3,14 @@
 import pytest
 from conftest import rows_of
 
-from lotweave.plans import problems, reference
+from lotweave.plans import formats, problems, reference, studies
 
-CASES = [(m, q) for m in (problems, reference) for q in m.QUERIES]
+#: Studies without SQL are tested by their parts in test_studies.py.
+CASES = [(m, q) for m in (problems, reference, formats, studies) for q in m.QUERIES if m is not studies or q in m.SQL]
 
 
 @pytest.mark.parametrize(("module", "name"), CASES, ids=[q for _, q in CASES])
 def test_query(spark, folder, duck, module, name):
-    if name not in module.SQL and name in ("placebo_treatments", "randomization_test", "text_uniqueness"):
-        pytest.skip("slow; its parts are tested by themselves")
     got = module.QUERIES[name](spark, folder).toPandas()
     if name in module.SQL:
         want = duck.execute(module.SQL[name]).df()
