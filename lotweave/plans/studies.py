@@ -204,16 +204,16 @@ def prior_sensitivity(spark, folder):
 
 
 @query("""
-with d as (select city, avg(ln(price)) as theta, stddev_samp(ln(price)) / sqrt(count(*)) as se from listing_embeddings where price > 0 and not isnan(price) and zip is not null group by city, zip having count(*) > 2 and stddev_samp(ln(price)) > 0),
-p as (select avg(theta) as mu, stddev_samp(theta) as sigma, median(se) as se from d where city = 'nyc'), f as (select avg(theta) as theta, avg(se) as se from d where city = 'sf')
+with d as (select city = 'sf' as own, avg(ln(price)) as theta, stddev_samp(ln(price)) / sqrt(count(*)) as se from listing_embeddings where price > 0 and not isnan(price) and city is not null group by city = 'sf', emb_id % 8 having count(*) > 1 and stddev_samp(ln(price)) > 0),
+p as (select avg(theta) as mu, stddev_samp(theta) as sigma, median(se) as se from d where not own), f as (select avg(theta) as theta, avg(se) as se from d where own)
 select round(mu, 6) as mu, round(sigma, 6) as sigma, round(sigma / p.se, 6) as inflation, round((theta - mu) / greatest(sigma, f.se), 6) as z from p, f
 """)
 def calibrated_estimate(spark, folder):
-    """An estimate held against the spread of placebo ones: a city's mean price against another's zips."""
-    rows = table(spark, folder, "listing_embeddings").where("price > 0 and not isnan(price) and zip is not null")
-    by = rows.groupBy("city", "zip").agg(F.avg(F.ln("price")).alias("theta"), (F.stddev_samp(F.ln("price")) / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n")).where("n > 2 and se > 0")
-    placebos = [(r["theta"], r["se"]) for r in by.where("city = 'nyc'").collect()]  # a row a zip
-    own = by.where("city = 'sf'").agg(F.avg("theta").alias("theta"), F.avg("se").alias("se")).first()
+    """An estimate held against the spread of placebo ones: a city's mean price against that of eight parts of the others'."""
+    rows = table(spark, folder, "listing_embeddings").where("price > 0 and not isnan(price) and city is not null").withColumn("own", F.col("city") == "sf")
+    by = rows.groupBy("own", F.pmod("emb_id", F.lit(8)).alias("part")).agg(F.avg(F.ln("price")).alias("theta"), (F.stddev_samp(F.ln("price")) / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n")).where("n > 1 and se > 0")
+    placebos = [(r["theta"], r["se"]) for r in by.where("not own").collect()]  # eight rows
+    own = by.where("own").agg(F.avg("theta").alias("theta"), F.avg("se").alias("se")).first()
     c = nm.calibrate(placebos, own["theta"], own["se"])
     return spark.createDataFrame([tuple(round(c[k], 6) for k in ("mu", "sigma", "inflation", "z"))], "mu double, sigma double, inflation double, z double")
 

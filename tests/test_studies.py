@@ -155,9 +155,9 @@ def test_rewrites_scored(spark):
     assert abs(effects["mean_change"] - 0.1) < 1e-9 and abs(effects["low"] - 0.1) < 1e-9 and abs(effects["percent"] - 10.517) < 0.01
 
 
-def test_label_classifier(spark):
+def test_label_classifier(spark, scratch):
     rows = [(i, f"{'red apple tree' if i % 2 else 'blue ocean wave'} number {i}", "a" if i % 2 else "b") for i in range(60)] + [(99, None, "a"), (98, "x", None)]
-    df = spark.createDataFrame(rows, "id long, t string, l string")
+    df = scratch.cut(spark.createDataFrame(rows, "id long, t string, l string"))
     told = cf.label_classifier(df, "t", "l", 256).transform(df.where("id < 60"))
     assert told.where("told = l").count() >= 58
 
