@@ -485,13 +485,20 @@ def tfidf_weights(spark, folder):
     return w.groupBy("listing_id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 6).alias("top_weight"))
 
 
-@query()
+_WEIGHTS_SQL = SQL["tfidf_weights"][: SQL["tfidf_weights"].rindex("select id as listing_id")]
+
+
+@query(f"""{_WEIGHTS_SQL}, s as (select id, term, w / sqrt(sum(w * w) over (partition by id)) as w from x), nb as (select listing_id as id, other_id from ({SQL['five_nearest']})),
+m as (select nb.id, term, sum(w) as m from nb join s on s.id = other_id group by all), ln as (select id, sqrt(sum(m * m)) as l from m group by id), dots as (select id, sum(w * m) as dot from s join m using (id, term) group by id)
+select id as listing_id, round(1 - coalesce(dot, 0) / l, 6) as uniqueness from ln left join dots using (id)
+""")
 def text_uniqueness(spark, folder):
+    """How far a description's words are from those of its five nearest neighbours."""
     scratch = Scratch(spark)
     listings = table(spark, folder, "listings")
     w = scratch.cut(vo.tf_idf(listings, "listing_id", "description", ["the", "and", "of", "in", "to", "is", "it", "by", "for", "with"]))
     near = sp.nearest(listings, listings.select(F.col("listing_id").alias("other_id"), "latitude", "longitude"), "listing_id", "other_id", scratch, k=5, skip_self=True)
-    return vo.uniqueness(w, near, "listing_id", "other_id")
+    return rounded(vo.uniqueness(w, near, "listing_id", "other_id"), "uniqueness")
 
 
 # ---- estimates
