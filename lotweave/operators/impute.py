@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotweave.session import Scratch
@@ -129,11 +129,11 @@ def fill_from_like(
                 top, below = top + F.coalesce(h * weights[k], F.lit(0.0)), below + F.when(h.isNotNull(), weights[k]).otherwise(0.0)
             estimate[f"e{i}"] = F.try_divide(top, below)
         moved = F.array_max(F.array(*[F.when(F.col(f"m{i}") > 0, F.coalesce(F.abs(estimate[f"e{i}"] - F.col(f"e{i}")) / scale, F.when(estimate[f"e{i}"].isNotNull(), 1.0).otherwise(0.0))).otherwise(0.0) for i, (scale, _, _) in enumerate(slots)]))
-        seen = Observation()
-        later = scratch.cut(placed.withColumn("_moved", moved).withColumns(estimate).observe(seen, F.max("_moved").alias("most")).select(*cells.columns))
+        later = scratch.cut(placed.withColumn("_moved", moved).withColumns(estimate).select(*cells.columns, "_moved"))
         scratch.drop(cells)
-        cells = later
-        if (seen.get.get("most") or 0.0) <= tolerance:
+        cells = later.drop("_moved")
+        scratch.paths[id(cells)] = scratch.paths.pop(id(later))
+        if (later.agg(F.max("_moved").alias("most")).first()["most"] or 0.0) <= tolerance:
             break
 
     found = [f"e{i}" for i in range(len(slots))]
