@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,6 +36,16 @@ SLOTS = {
     "parking": [rf"{_INT}\s*[-\s]?car\s*garage", rf"({_W})\s*[-\s]?car\s*garage", rf"parking\s*for\s*{_INT}\b", rf"{_INT}\s*parking\s*spaces?"],
     "stories": [rf"{_INT}[-\s]?stor(?:y|ies|ey|eys)\b", rf"({_W})[-\s]?stor(?:y|ies|ey|eys)\b", rf"{_INT}[-\s]?level\b"],
 }
+#: For each of those patterns, parts of words without one of which it can't match.
+SLOT_WORDS = {
+    "beds": [["bed"], ["bed"], ["br"]],
+    "baths": [["bath"], ["bath"], ["ba"]],
+    "sqft": [["sq", "sf"], ["approximately"]],
+    "year_built": [["built"], ["circa"], ["originally"], ["built", "construction"]],
+    "lot_sqft": [["lot"], ["lot"]],
+    "parking": [["garage"], ["garage"], ["parking"], ["parking"]],
+    "stories": [["stor"], ["stor"], ["level"]],
+}
 #: Words that name places, removed from texts to see what is left without them.
 PLACE_WORDS = [
     r"\d{5}", "manhattan", "brooklyn", "bronx", "queens", "staten island", "upper east", "upper west", "lower east", "chelsea", "soho", "tribeca", "williamsburg", "bushwick", "park slope", "dumbo",
@@ -90,21 +101,33 @@ def classify(description: Column, city: Column, table: dict[str, dict[str, list[
     return out.otherwise("other")
 
 
-def slot(text: Column, patterns: list[str]) -> Column:
-    """The first match of the first pattern that has one, as a number (words up to ten too); null without."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[–—]", "-")
+def _dashed(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[–—]", "-")
+
+
+def _number(t: Column, low: Column, name: str) -> Column:
+    """The first number of a fact in a text whose dashes are plain, given in lower case too; a pattern is tried only if those before it found none, and where one of its words is."""
 
-    def value(p: str) -> Column:
-        m = F.lower(F.regexp_replace(F.regexp_extract(t, f"(?i){p}", 1), ",", ""))
+    def value(m: Column) -> Column:
         word = F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), m)
         return F.when(m != "", F.coalesce(m.try_cast("double"), F.when(word > 0, word.cast("double"))))
 
-    return F.coalesce(*[value(p) for p in patterns])
+    found = [let(F.lower(F.regexp_replace(F.regexp_extract(t, f"(?i){p}", 1), ",", "")), value) for p in SLOTS[name]]
+    return F.coalesce(*[F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ws]), v) for ws, v in zip(SLOT_WORDS[name], found)])
+
+
+def _searched(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    return let(_dashed(text), lambda t: let(F.lower(t), lambda low: body(t, low)))
 
 
 def slots(text: Column) -> Column:
     """All facts of a text, as a struct of doubles."""
-    return F.struct(*[slot(text, ps).alias(name) for name, ps in SLOTS.items()])
+    return _searched(text, lambda t, low: F.struct(*[_number(t, low, s).alias(s) for s in SLOTS]))
+
+
+def slots_kept(a: Column, text: Column) -> Column:
+    """Whether a text agrees with all of a struct of facts, or says nothing; it is searched only for facts that the struct has."""
+    return _searched(text, lambda t, low: reduce(lambda x, y: x & y, [a[s].isNull() | F.coalesce(F.abs(a[s] - _number(t, low, s)) < 1e-6, F.lit(True)) for s in SLOTS]))
 
 
 def slots_match(a: Column, b: Column) -> Column:
@@ -113,11 +136,15 @@ def slots_match(a: Column, b: Column) -> Column:
 
 
 def without_places(c: Column) -> Column:
-    """Lower case, place words removed in order, white space squeezed."""
-    t = F.lower(F.coalesce(c, F.lit("")))
+    """Lower case, place words removed (of two at one point, the first of the list), white space squeezed.
+
+    One search for all of them: no word overlaps a later start of one before it, and what a removal leaves makes no new one.
+    """
+    first = {}
     for p in PLACE_WORDS:
-        t = F.regexp_replace(t, rf"\b{p}\b", "")
-    return squeeze(t)
+        first.setdefault(p[0], []).append(p[1:])
+    words = "|".join(rf"{a}(?:{'|'.join(rest)})" if a.isalpha() else "|".join(a + r for r in rest) for a, rest in first.items())
+    return squeeze(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"\b(?:{words})\b", ""))
 
 
 def n_words(c: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lotweave.functions.geo import let
-from lotweave.functions.text import SLOTS, slots, slots_match, without_places
+from lotweave.functions.text import SLOTS, slots, slots_kept, slots_match, without_places
 
 #: The arms of an experiment, and what each asks of a generator.
 ARMS = {"identity": "Repeat the text.", "style_swap": "Rewrite the text in the style of {target}. Keep every number.", "style_stripped": "Rewrite the text plainly, without any word that tells the place. Keep every number.", "place_removed": "Leave out every name of a place."}
@@ -28,36 +31,105 @@ def echo(arm: Column, text: Column) -> Column:
     return F.when(arm == "place_removed", without_places(text)).otherwise(text)
 
 
+#: Up to so many pairs, letter pairs are counted and looked up in a square table, else by sorting and searching.
+MOST_CELLS = 1 << 22
+
+
+def _lowered(text: Column) -> Column:
+    """A text whose letter pairs are counted: lower case, as many letters as it had; null for fewer than two."""
+    return F.when(F.length(text) >= 2, F.substring(F.lower(text), F.lit(1), F.length(text)))
+
+
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts, one after another; lengths)."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"), np.array([len(t) for t in texts], dtype=np.int64)
+
+
+def _coded(points: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Places in the sorted ``chars``; their number for points that aren't there."""
+    table = np.full(int(max(points.max(), chars.max())) + 1, len(chars), dtype=np.int64)
+    table[chars] = np.arange(len(chars))
+    return table[points]
+
+
 def letter_model(df: DataFrame, text: str) -> DataFrame:
     """(gram, logp) of letter pairs, with one added to each count: at most some thousand rows for texts of one alphabet."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(F.lower(F.col(text)), i, F.lit(2)))
-    n = df.where(F.length(text) >= 2).select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    first = n.groupBy(F.substring("gram", 1, 1).alias("a")).agg(F.sum("n").alias("m"), F.count("*").alias("k"))
-    return n.join(first, F.substring(n["gram"], 1, 1) == first["a"]).select("gram", F.ln((F.col("n") + 1) / (F.col("m") + F.col("k") + 1)).alias("logp"))
-
 
-def perplexity(df: DataFrame, key: list[str], text: str, model: DataFrame, out: str) -> DataFrame:
-    """(key, out): exp of the mean surprise of a text's letter pairs, unseen ones at the model's lowest; null for fewer than two letters."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(F.lower(F.col(text)), i, F.lit(2)))
-    long = df.where(F.length(text) >= 2).select(*key, F.explode(grams).alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias("n"))
-    floor = model.agg(F.min("logp").alias("_f"))
-    joined = long.join(model, "gram", "left").crossJoin(F.broadcast(floor))  # one row
-    return joined.groupBy(*key).agg(F.exp(F.least(-F.sum(F.col("n") * F.coalesce("logp", "_f")) / F.sum("n"), F.lit(50.0))).alias(out))
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            points, lengths = _letters(list(pdf["t"]))
+            chars = np.unique(points) if len(points) < 1000 else np.flatnonzero(np.bincount(points))
+            at, k = _coded(points, chars), len(chars)
+            inside = np.ones(len(points), dtype=bool)
+            inside[np.cumsum(lengths) - 1] = False  # a text's last letter begins no pair
+            pairs = (at[:-1] * k + at[1:])[inside[:-1]]
+            if k * k <= MOST_CELLS:
+                n = np.bincount(pairs, minlength=k * k)
+                found = np.flatnonzero(n)
+                n = n[found]
+            else:
+                found, n = np.unique(pairs, return_counts=True)
+            yield pd.DataFrame({"gram": [chr(chars[p // k]) + chr(chars[p % k]) for p in found], "n": n})
+
+    counted = df.select(_lowered(F.col(text)).alias("t")).where("t is not null").mapInPandas(counts, "gram string, n long")
+    first = Window.partitionBy(F.substring("gram", 1, 1))  # some thousand rows
+    n = counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    return n.select("gram", F.ln((F.col("n") + 1) / (F.sum("n").over(first) + F.count("*").over(first) + 1)).alias("logp"))
+
+
+def perplexity(model: DataFrame) -> Callable[[Column], Column]:
+    """What gives exp of the mean surprise of a text's letter pairs, unseen ones at the model's lowest; null for fewer than two letters. The model goes to every worker."""
+    grams = model.collect()  # as many as an alphabet has pairs
+    first, second = (np.array([ord(r["gram"][i]) for r in grams], dtype=np.int64) for i in range(2))
+    logp, chars = np.array([r["logp"] for r in grams]), np.unique(np.concatenate([first, second]))
+    k = len(chars) + 1  # one more for letters that aren't in the model
+    pairs = np.searchsorted(chars, first) * k + np.searchsorted(chars, second)
+    order = np.argsort(pairs)
+    pairs, logp = pairs[order], logp[order]
+    shared = model.sparkSession.sparkContext.broadcast((chars, pairs, logp))
+
+    @F.pandas_udf("double")
+    def measured(texts: pd.Series) -> pd.Series:
+        chars, pairs, logp = shared.value
+        out, known = np.full(len(texts), np.nan), texts.notna().to_numpy()
+        if known.any() and len(pairs):
+            points, lengths = _letters(list(texts[known]))
+            at = _coded(points, chars)
+            mine = at[:-1] * k + at[1:]
+            if k * k <= MOST_CELLS:
+                table = np.full(k * k, logp.min())
+                table[pairs] = logp
+                value = table[mine]
+            else:
+                place = np.minimum(np.searchsorted(pairs, mine), len(pairs) - 1)
+                value = np.where(pairs[place] == mine, logp[place], logp.min())
+            ends = np.cumsum(lengths)
+            value = np.append(value, 0.0)
+            value[ends - 1] = 0.0  # a text's last letter begins no pair
+            out[known] = np.exp(np.minimum(-np.add.reduceat(value, ends - lengths) / (lengths - 1), 50.0))
+        return pd.Series(out)
+
+    return lambda text: measured(_lowered(text))
 
 
 def rewrites(df: DataFrame, key: str, text: str, target: Column, generate: Callable[[Column, Column], Column] = echo, most_ratio: float = 3.0) -> DataFrame:
-    """(key, arm, prompt, rewrite, facts_kept, fluent, passed) for each text and arm: facts must agree where both have them, and perplexity may grow to most_ratio times."""
+    """(key, arm, prompt, rewrite, facts_kept, fluent, passed) for each text and arm: facts must agree where both have them, and perplexity may grow to most_ratio times.
+
+    Each text is judged by itself, where it is: only the letter model's counts are shuffled. A rewrite that is the text itself has its facts and perplexity.
+    """
     base = df.where(F.length(F.trim(text)) > 0).select(key, F.col(text).alias("_t"), target.alias("_target"))
-    arms = base.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in ARMS])))
+    surprise = perplexity(letter_model(base, "_t"))
+    known = base.withColumns({"_a": slots(F.col("_t")), "_p0": surprise(F.col("_t"))})
+    arms = known.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in ARMS])))
     out = arms.withColumns({"prompt": prompt(F.col("arm"), F.col("_t"), F.col("_target")), "rewrite": generate(F.col("arm"), F.col("_t"))})
-    out = out.withColumns({"_a": slots(F.col("_t")), "_b": slots(F.col("rewrite"))})
-    agree = slots_match(F.col("_a"), F.col("_b"))
-    out = out.withColumn("facts_kept", F.forall(F.array(*[agree[s] for s in SLOTS]), lambda x: x)).drop("_a", "_b")
-    model = letter_model(base, "_t")
-    before = perplexity(base, [key], "_t", model, "_p0")
-    after = perplexity(out.select(key, "arm", "rewrite"), [key, "arm"], "rewrite", model, "_p1")
-    out = out.join(before, key, "left").join(after, [key, "arm"], "left")
-    fluent = F.coalesce(F.col("_p1") <= most_ratio * F.col("_p0"), F.lit(False))
+    out = out.withColumn("_new", F.when(~F.col("rewrite").eqNullSafe(F.col("_t")), F.col("rewrite")))
+    out = out.withColumn("_p1", surprise(F.col("_new")))
+    same = F.col("rewrite").eqNullSafe(F.col("_t"))
+    own = F.forall(F.array(*[slots_match(F.col("_a"), F.col("_a"))[s] for s in SLOTS]), lambda x: x)
+    out = out.withColumn("facts_kept", F.when(same, own).otherwise(slots_kept(F.col("_a"), F.col("_new"))))
+    fluent = F.coalesce(F.when(same, F.col("_p0")).otherwise(F.col("_p1")) <= most_ratio * F.col("_p0"), F.lit(False))
     return out.withColumn("fluent", fluent).withColumn("passed", F.col("fluent") & F.col("facts_kept")).select(key, "arm", "prompt", "rewrite", "facts_kept", "fluent", "passed")
 
 

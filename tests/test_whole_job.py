@@ -1,10 +1,15 @@
 """Registered queries do the whole job: on inputs made larger or odder than the given tables."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from lotweave.functions import text as tx
 from lotweave.operators import audit as au
+from lotweave.operators import counterfactual as cf
 from lotweave.plans import reference
 
 
@@ -57,3 +62,48 @@ def test_many_labels_have_an_accuracy(spark, tmp_path):
     study_tables(spark, tmp_path, 5 * 510, zips=[f"{10000 + i}" for i in range(510)])
     got = reference.QUERIES["label_accuracy"](spark, str(tmp_path)).first()
     assert got["classes"] == 510 and got["baseline"] == pytest.approx(1 / 510) and got["accuracy"] is not None and got["majority"] == pytest.approx(1 / 510)
+
+
+def test_rewrites_are_judged_where_they_are(spark):
+    """Each text by itself, also two of one key, without a shuffle of texts; perplexity as counted by hand."""
+    texts = {1: ["Two beds, built in 1920, at 12 Park St.", "zq"], 2: ["A İstanbul loft with 3 baths"], 3: ["x"]}
+    df = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts] + [(4, None), (5, " ")], "k long, t string")
+    noise = lambda arm, t: F.when(arm == "style_swap", F.lit("4 beds ~^`|#")).when(arm == "identity", t).otherwise(F.lower(t))
+    out = cf.rewrites(df, "k", "t", F.lit("here"), noise)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["k"], r["prompt"].count("zq"), r["arm"]): (r["facts_kept"], r["fluent"], r["passed"]) for r in out.collect()}
+    assert len(got) == 16
+    assert got[1, 0, "identity"] == got[1, 1, "identity"] == got[2, 0, "place_removed"] == (True, True, True)
+    assert got[1, 0, "style_swap"][0] is False and got[1, 1, "style_swap"][0] is True and got[3, 0, "identity"] == (True, False, False)
+    pairs = Counter(t.lower()[i : i + 2] for ts in texts.values() for t in ts for i in range(len(t) - 1))
+    first, kinds = Counter(), Counter()
+    for p, n in pairs.items():
+        first[p[0]] += n
+        kinds[p[0]] += 1
+    logp = {p: np.log((n + 1) / (first[p[0]] + kinds[p[0]] + 1)) for p, n in pairs.items()}
+    model = cf.letter_model(df, "t")
+    assert {r["gram"]: pytest.approx(r["logp"]) for r in model.collect()} == logp
+    asked = ["A İstanbul loft", "zq~", "b", None, "Ünseen 日本"]
+    told = [r["p"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "i int, t string").withColumn("p", cf.perplexity(model)(F.col("t"))).orderBy("i").collect()]
+    for t, p in zip(asked, told):
+        want = None if t is None or len(t) < 2 else np.exp(-np.mean([logp.get(t.lower()[i : i + 2], min(logp.values())) for i in range(len(t) - 1)]))
+        assert p == (None if want is None else pytest.approx(want))
+
+
+def test_letter_pairs_of_large_alphabets(spark):
+    df = spark.createDataFrame([(1, "two plain texts"), (2, "of letters")], "k long, t string")
+    table = [cf.letter_model(df, "t").orderBy("gram").collect(), df.select(cf.perplexity(cf.letter_model(df, "t"))(F.col("t"))).collect()]
+    wide = spark.createDataFrame([(3, "".join(chr(0x4E00 + i) for i in range(2100)))], "k long, t string")
+    both = cf.letter_model(df.union(wide), "t")
+    assert both.where("gram < 'zz'").orderBy("gram").collect() == table[0] and both.count() == len(table[0]) + 2099
+    assert df.select(cf.perplexity(both)(F.col("t")).alias("p")).collect() == table[1]
+
+
+def test_place_words_are_removed_as_one_after_another(spark):
+    rng, words = np.random.default_rng(1), [w.replace(r"\d{5}", "02115") for w in tx.PLACE_WORDS] + ["valley", "upper", "east", "é"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "  ", "-", ".", "", "́"]) for _ in range(12)) for _ in range(400)]
+    one = F.lower("t")
+    for p in tx.PLACE_WORDS:
+        one = F.regexp_replace(one, rf"\b{p}\b", "")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(tx.squeeze(one) != tx.without_places(F.col("t"))).count() == 0
