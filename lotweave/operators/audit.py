@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotweave.functions.numeric import calibrate, chi2_sf, portability, regression_robustness, stability, verdict
-from lotweave.operators.estimate import mutual_information
-from lotweave.operators.learners import Boosted, Network, cross_entropy, cross_fit, effect, folds_of, logistic, per_group, principal, probability, softmax, standardise
+from lotweave.operators.estimate import fold, mutual_information
+from lotweave.operators.learners import MOST_ROWS, Boosted, Network, cross_entropy, cross_fit, effect, folds_of, logistic, per_group, principal, probability, softmax, standardise
+from lotweave.session import Scratch
 
 #: Rows of an analysis table: id, city, emb (array<double>), y, w (array<double>: confounders), label, lat, lon.
 QUICK = {"trees": 40, "depth": 3}
@@ -239,8 +240,18 @@ def transfer(df: DataFrame, components_kept: int = 10) -> DataFrame:
     return per_group(scored, ["source", "target"], score, "source string, target string, r2 double, r2_centred double, spearman double")
 
 
-def label_accuracy(df: DataFrame, least: int = 5, k: int = 5, seed: int = 42) -> DataFrame:
-    """(city, classes, accuracy, baseline, sum_of_squares, majority): cross-validated accuracy of labels from components, by a softmax regression; labels with fewer than ``least`` rows left out."""
+def label_accuracy(df: DataFrame, least: int = 5, k: int = 5, seed: int = 42, most: int = MOST_ROWS) -> DataFrame:
+    """(city, classes, accuracy, baseline, sum_of_squares, majority): cross-validated accuracy of labels from components, by a softmax regression; labels with fewer than ``least`` rows left out.
+
+    A city to a task; the rows of a city of more than ``most`` are spread over tasks.
+    """
+    schema = "city string, classes long, accuracy double, baseline double, sum_of_squares double, majority double"
+    large = [r["city"] for r in df.groupBy("city").count().where(F.col("count") > most).collect()]  # few, as each has that many rows
+    if large:
+        few = [c for c in large if c is not None]
+        small = df.where(~F.coalesce(F.col("city").isin(few), F.lit(False)) if few else F.lit(True)).where(F.lit(None not in large) | F.col("city").isNotNull())
+        rows = [(c, *_spread_label_accuracy(df.where(F.col("city").eqNullSafe(F.lit(c))), least, k, seed)) for c in large]
+        return label_accuracy(small, least, k, seed, 2**62).unionAll(df.sparkSession.createDataFrame(rows, schema))
 
     def work(pdf: pd.DataFrame) -> dict:
         pdf = pdf[pdf["label"].notna()].sort_values("id")
@@ -260,7 +271,90 @@ def label_accuracy(df: DataFrame, least: int = 5, k: int = 5, seed: int = 42) ->
         share = np.bincount(y) / len(y)
         return {"classes": len(names), "accuracy": float(hits / len(y)), "baseline": 1 / len(names), "sum_of_squares": float((share**2).sum()), "majority": float(share.max())}
 
-    return per_group(df, ["city"], work, "city string, classes long, accuracy double, baseline double, sum_of_squares double, majority double")
+    return per_group(df, ["city"], work, schema)
+
+
+def _spread_label_accuracy(df: DataFrame, least: int, k: int, seed: int, steps: int = 120, block: int = 2048) -> tuple:
+    """What label_accuracy() tells of one city, (classes, accuracy, baseline, sum_of_squares, majority), its rows spread over tasks.
+
+    The same model and steps, but folds come from a hash of the id. Components come from sums of products, and a step's gradients are sums over rows,
+    of all folds at once; rows are kept in blocks of scores. A label's name and count, and a few thousand numbers a task and step, go to the driver.
+    """
+    rows = df.where("label is not null")
+    counts = sorted((r["label"], r["count"]) for r in rows.groupBy("label").count().where(F.col("count") >= least).collect())
+    c, n = len(counts), sum(m for _, m in counts)
+    if c < 2:
+        return c, None, None, None, None
+    scratch, place, share = Scratch(df.sparkSession), {name: i for i, (name, _) in enumerate(counts)}, np.array([m for _, m in counts]) / n
+    kept = rows.select("label", "emb", fold(F.col("id"), k, seed).cast("long").alias("fold"))
+
+    def summed(df: DataFrame, work: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
+        """The sum over batches of what work makes of each, in one array."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = 0.0
+            for pdf in batches:
+                if len(pdf):
+                    out = out + work(pdf)
+            if not np.isscalar(out):
+                yield pd.DataFrame({"s": [out.astype("<f8").tobytes()]})
+
+        return np.sum([np.frombuffer(r["s"], "<f8") for r in df.mapInPandas(run, "s binary").collect()], axis=0)
+
+    def vectors(pdf: pd.DataFrame) -> np.ndarray:
+        return np.vstack(pdf["emb"][pdf["label"].isin(place)].tolist() or np.zeros((0, len(pdf["emb"].iloc[0]))))
+
+    mean = summed(kept, lambda pdf: vectors(pdf).sum(axis=0)) / n
+
+    def products(pdf: pd.DataFrame) -> np.ndarray:
+        t = vectors(pdf) - mean
+        return (t.T @ t).ravel()
+
+    value, load = np.linalg.eigh(summed(kept, products).reshape(len(mean), len(mean)))
+    p = min(50, len(mean), n - 1)
+    value, load = value[::-1][:p], load[:, ::-1][:, :p]
+    load = load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(p)])
+    load = load / np.where(value > 1e-12 * value[0], np.sqrt(np.maximum(value, 1e-300) / n), np.inf)  # scores with a deviation of 1; 0 where there is none
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf["label"].isin(place)].sort_values("fold", kind="stable")
+            for i in range(0, len(pdf), block):
+                part = pdf.iloc[i : i + block]
+                x, y = (np.vstack(part["emb"]) - mean) @ load, part["label"].map(place).to_numpy("<i8")
+                yield pd.DataFrame({"x": [x.astype("<f8").tobytes()], "y": [y.tobytes()], "at": [part["fold"].to_numpy("<i8").tobytes()]})
+
+    table = scratch.cut(kept.mapInPandas(blocks, "x binary, y binary, at binary"))
+
+    def read(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for x, y, at in zip(pdf["x"], pdf["y"], pdf["at"]):
+            yield np.frombuffer(x, "<f8").reshape(-1, p), np.frombuffer(y, "<i8"), np.frombuffer(at, "<i8")
+
+    def gradients(pdf: pd.DataFrame) -> np.ndarray:
+        """For each fold, of the rows that aren't in it: sums for weights and biases, then the number of rows."""
+        out = np.zeros((k, p * c + c + 1))
+        for x, y, at in read(pdf):
+            for f, (w, b) in enumerate(weights):
+                rows = at != f
+                own, g = x[rows], y[rows]
+                z = softmax(own @ w + b)
+                z[np.arange(len(z)), g] -= 1
+                out[f] += np.concatenate([(own.T @ z).ravel(), z.sum(axis=0), [len(z)]])
+        return out.ravel()
+
+    def hits(pdf: pd.DataFrame) -> np.ndarray:
+        return np.array([sum(float(((x[at == f] @ w + b).argmax(axis=1) == y[at == f]).sum()) for x, y, at in read(pdf) for f, (w, b) in enumerate(weights))])
+
+    nets = [Network([p, c], seed) for _ in range(k)]
+    for _ in range(steps):
+        weights = [(net.w[0], net.b[0]) for net in nets]
+        for net, s in zip(nets, summed(table, gradients).reshape(k, -1)):
+            if s[-1]:
+                net.step([s[: p * c].reshape(p, c) / s[-1]], [s[p * c : -1] / s[-1]], 0.05, 1e-3)
+    weights = [(net.w[0], net.b[0]) for net in nets]
+    accuracy = float(summed(table, hits)[0] / n)
+    scratch.drop(table)
+    return c, accuracy, 1 / c, float((share**2).sum()), float(share.max())
 
 
 def deconfounded(df: DataFrame, epochs: int = 60, seed: int = 0) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotweave.functions.geo import let
 from lotweave.functions.text import SLOTS, slots, slots_kept, slots_match, without_places
 
 #: The arms of an experiment, and what each asks of a generator.
@@ -176,16 +175,16 @@ def aligned(texts: DataFrame, known: DataFrame, values: list[str], order: Column
 def text_vector(c: Column, size: int = 64, seed: int = 0) -> Column:
     """An encoder that needs no model: words, hashed with a sign into ``size`` numbers and scaled to length 1; zeros for a text without words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    hashes = F.transform(words, lambda w: F.xxhash64(w, F.lit(seed)))
-    places = F.transform(hashes, lambda h: F.struct(F.pmod(h, F.lit(size)).alias("i"), F.when(h % 3 == 0, -1.0).otherwise(1.0).alias("s")))
 
-    def sums(places: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(places, F.lit(0.0), lambda a, p: a + F.when(p["i"] == i, p["s"]).otherwise(0.0)))
+    @F.pandas_udf("array<double>")
+    def summed(hashes: pd.Series) -> pd.Series:
+        n, h = np.array([len(x) for x in hashes], dtype=np.int64), np.concatenate([np.zeros(0, dtype=np.int64), *hashes]).astype(np.int64)
+        at = np.repeat(np.arange(len(n)), n) * size + h % size
+        v = np.bincount(at, np.where(h % 3 == 0, -1.0, 1.0), len(n) * size).reshape(len(n), size)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))  # sums of whole numbers, so exact in any order
+        return pd.Series(list(v / np.where(norm > 0, norm, 1.0)))
 
-    def scaled(v: Column) -> Column:
-        return let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
-
-    return let(let(places, sums), scaled)  # each step once
+    return summed(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed))))
 
 
 def text_direction(df: DataFrame, vector: str, y: str, confounders: list[str], key: str) -> dict:

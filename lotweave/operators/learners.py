@@ -112,13 +112,17 @@ class Network:
                 g = g * (self.h[i + 1] > 0)
             gw[i], gb[i] = self.h[i].T @ g, g.sum(axis=0)
             g = g @ self.w[i].T
+        self.step(gw, gb, rate, decay)
+        return g
+
+    def step(self, gw: list[np.ndarray], gb: list[np.ndarray], rate: float = 1e-2, decay: float = 0.0) -> None:
+        """One step of Adam against the gradients of weights and biases."""
         self.t += 1
         for p, d, s in zip((*self.w, *self.b), (*gw, *gb), self.state):
             d = d + decay * p
             s[0] = 0.9 * s[0] + 0.1 * d
             s[1] = 0.999 * s[1] + 0.001 * d * d
             p -= rate * (s[0] / (1 - 0.9**self.t)) / (np.sqrt(s[1] / (1 - 0.999**self.t)) + 1e-8)
-        return g
 
 
 def softmax(z: np.ndarray) -> np.ndarray:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lotweave.functions import text as tx
 from lotweave.operators import audit as au
 from lotweave.operators import counterfactual as cf
+from lotweave.operators import estimate as es
+from lotweave.operators import learners as le
 from lotweave.plans import reference
 
 
@@ -107,3 +109,37 @@ def test_place_words_are_removed_as_one_after_another(spark):
         one = F.regexp_replace(one, rf"\b{p}\b", "")
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert df.where(tx.squeeze(one) != tx.without_places(F.col("t"))).count() == 0
+
+
+def test_label_accuracy_of_a_large_city(spark, tmp_path):
+    """A city of more rows than a task takes has its accuracy too, the same as from one array with the same folds."""
+    rng, names = np.random.default_rng(2), ["b", "a", "c"]
+    rows = [("x", i, (rng.normal(size=6) + np.eye(6)[i % 3] * 2).tolist(), names[i % 3]) for i in range(300)] + [("x", 300, [0.0] * 6, "rare"), ("x", 301, [9.0] * 6, None)]
+    rows += [("y", i, rng.normal(size=6).tolist(), names[i % 2]) for i in range(40)] + [(None, i, rng.normal(size=6).tolist(), "a") for i in range(120)]
+    df = spark.createDataFrame(rows, "city string, id long, emb array<double>, label string").repartition(3)
+    got = {r["city"]: r for r in au.label_accuracy(df, most=100).collect()}
+    one = {r["city"]: r for r in au.label_accuracy(df).collect()}
+    assert got["y"] == one["y"] and got[None] == one[None]
+    at = {r["id"]: r["f"] for r in df.where("city = 'x'").select("id", es.fold(F.col("id")).alias("f")).collect()}
+    t, y, at = np.array([r[2] for r in rows[:300]]), np.array([names.index(r[3]) for r in rows[:300]]), np.array([at[i] for i in range(300)])
+    y = np.array([1, 0, 2])[y]  # in the order of names
+    x, hits = le.standardise(le.principal(t, 6)), 0
+    for f in range(5):
+        net, own = le.Network([6, 3], 42), at != f
+        for _ in range(120):
+            g = le.softmax(net.forward(x[own]))
+            g[np.arange(len(g)), y[own]] -= 1
+            net.backward(g / own.sum(), 0.05, 1e-3)
+        hits += (net.forward(x[~own]).argmax(axis=1) == y[~own]).sum()
+    assert got["x"]["accuracy"] == pytest.approx(hits / 300, abs=1e-9) and hits > 200
+    assert all(got["x"][c] == pytest.approx(one["x"][c]) for c in ("classes", "baseline", "sum_of_squares", "majority"))
+
+
+def test_text_vectors_are_signed_sums_of_hashed_words(spark):
+    df = spark.createDataFrame([("Red house, red DOOR 12",), ("",), (None,), ("Überbau 日本 x",)], "t string")
+    words = F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    for r in df.select(cf.text_vector(F.col("t"), 8, 3).alias("v"), F.transform(words, lambda w: F.xxhash64(w, F.lit(3))).alias("h")).collect():
+        v = np.zeros(8)
+        for h in r["h"] or []:
+            v[h % 8] += -1.0 if h % 3 == 0 else 1.0
+        assert r["v"] == (v / (np.linalg.norm(v) or 1)).tolist()
