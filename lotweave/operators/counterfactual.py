@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -113,12 +114,12 @@ def perplexity(model: DataFrame) -> Callable[[Column], Column]:
     return lambda text: measured(_lowered(text))
 
 
-def rewrites(df: DataFrame, key: str, text: str, target: Column, generate: Callable[[Column, Column], Column] = echo, most_ratio: float = 3.0) -> DataFrame:
-    """(key, arm, prompt, rewrite, facts_kept, fluent, passed) for each text and arm: facts must agree where both have them, and perplexity may grow to most_ratio times.
+def rewrites(df: DataFrame, key: str, text: str, target: Column, generate: Callable[[Column, Column], Column] = echo, most_ratio: float = 3.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, arm, prompt, rewrite, facts_kept, fluent, passed, and columns to keep) for each text and arm: facts must agree where both have them, and perplexity may grow to most_ratio times.
 
     Each text is judged by itself, where it is: only the letter model's counts are shuffled. A rewrite that is the text itself has its facts and perplexity.
     """
-    base = df.where(F.length(F.trim(text)) > 0).select(key, F.col(text).alias("_t"), target.alias("_target"))
+    base = df.where(F.length(F.trim(text)) > 0).select(key, F.col(text).alias("_t"), target.alias("_target"), *keep)
     surprise = perplexity(letter_model(base, "_t"))
     known = base.withColumns({"_a": slots(F.col("_t")), "_p0": surprise(F.col("_t"))})
     arms = known.withColumn("arm", F.explode(F.array(*[F.lit(a) for a in ARMS])))
@@ -129,7 +130,7 @@ def rewrites(df: DataFrame, key: str, text: str, target: Column, generate: Calla
     own = F.forall(F.array(*[slots_match(F.col("_a"), F.col("_a"))[s] for s in SLOTS]), lambda x: x)
     out = out.withColumn("facts_kept", F.when(same, own).otherwise(slots_kept(F.col("_a"), F.col("_new"))))
     fluent = F.coalesce(F.when(same, F.col("_p0")).otherwise(F.col("_p1")) <= most_ratio * F.col("_p0"), F.lit(False))
-    return out.withColumn("fluent", fluent).withColumn("passed", F.col("fluent") & F.col("facts_kept")).select(key, "arm", "prompt", "rewrite", "facts_kept", "fluent", "passed")
+    return out.withColumn("fluent", fluent).withColumn("passed", F.col("fluent") & F.col("facts_kept")).select(key, "arm", "prompt", "rewrite", "facts_kept", "fluent", "passed", *keep)
 
 
 def pass_rates(checked: DataFrame) -> DataFrame:
@@ -207,26 +208,66 @@ def text_direction(df: DataFrame, vector: str, y: str, confounders: list[str], k
     return {"mean": mean, "load": load, "scale": float(s), "theta": fit["theta"] or 0.0, "se": fit["se"], "beta": beta}
 
 
-def scored(df: DataFrame, vector: str, confounders: list[str], fit: dict) -> DataFrame:
-    """df with ``baseline``, the outcome predicted from the confounders, and ``predicted``, with the effect of the text's vector added; nothing is collected."""
-    dot = lambda a: F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in a]), lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x)
+def text_part(vector: Column, fit: dict) -> Column:
+    """What a text's vector adds to the predicted outcome."""
+    dot = F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in fit["load"]]), lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x)
+    return (dot - float(fit["mean"] @ fit["load"])) / fit["scale"] * float(fit["theta"])
+
+
+def confounded_part(confounders: list[str], fit: dict) -> Column:
+    """The outcome predicted from the confounders."""
     base = F.lit(float(fit["beta"][0]))
     for b, c in zip(fit["beta"][1:], confounders):
         base = base + float(b) * F.col(c).cast("double")
-    text = (dot(fit["load"]) - float(fit["mean"] @ fit["load"])) / fit["scale"] * float(fit["theta"])
-    return df.withColumn("baseline", base).withColumn("predicted", F.col("baseline") + text)
+    return base
+
+
+def scored(df: DataFrame, vector: str, confounders: list[str], fit: dict) -> DataFrame:
+    """df with ``baseline``, the outcome predicted from the confounders, and ``predicted``, with the effect of the text's vector added; nothing is collected."""
+    return df.withColumn("baseline", confounded_part(confounders, fit)).withColumn("predicted", F.col("baseline") + text_part(F.col(vector), fit))
 
 
 def arm_effects(changes: DataFrame, arm: str, key: str, change: str, resamples: int = 2000) -> DataFrame:
     """(arm, n, mean_change, low, high, percent): each arm's mean change with an interval over resamples, and what it implies in percent.
 
-    Resamples weigh rows by Poisson(1) numbers from a hash of key and resample, so they are sums before the shuffle and the same in any engine.
+    Resamples weigh rows by Poisson(1) numbers from a hash of key and resample, the same in any engine, drawn once for all arms of a key and summed over blocks of keys before the shuffle.
     """
-    from lotweave.operators.estimate import poisson_weight
+    from lotweave.operators.draws import poisson_weights
 
     rows = changes.where(F.col(change).isNotNull())
-    drawn = rows.select(arm, key, change, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("_k", poisson_weight(F.col(key), F.col("b")))
-    means = drawn.groupBy(arm, "b").agg(F.try_divide(F.sum(F.col(change) * F.col("_k")), F.sum("_k")).alias("m"))
+    tasks = 4 * changes.sparkSession.sparkContext.defaultParallelism
+    # by number, or adaptive execution would put these rows, small as they are, in one task
+    narrow = rows.where(F.col(arm).isNotNull()).select(F.col(arm).alias("arm"), F.col(key).cast("string").alias("key"), F.col(change).cast("double").alias("change")).repartition(tasks, "key")
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("arm", kind="stable")
+        at, keys = pd.factorize(pdf["key"], use_na_sentinel=False)
+        new = (pdf["arm"] != pdf["arm"].shift()).to_numpy()
+        starts, change = np.flatnonzero(new), pdf["change"].to_numpy(float)
+        s, w = np.empty((resamples, len(starts)), dtype=np.longdouble), np.empty((resamples, len(starts)))
+        for b, drawn in enumerate(poisson_weights([None if pd.isna(k) else k for k in keys], resamples)):
+            k = drawn[at]
+            s[b], w[b] = np.add.reduceat((change * k).astype(np.longdouble), starts), np.add.reduceat(k, starts)
+        return pd.DataFrame({"arm": np.tile(pdf["arm"].to_numpy()[starts], resamples), "b": np.repeat(np.arange(1, resamples + 1), len(starts)), "s": s.ravel().astype(float), "rest": (s - s.astype(float)).ravel().astype(float), "w": w.ravel()})
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in batches:
+            held, n = [*held, pdf], n + len(pdf)
+            if n >= 30_000:
+                yield summed(pd.concat(held))
+                held, n = [], 0
+        if n:
+            yield summed(pd.concat(held))
+
+    @F.pandas_udf("double")
+    def total(parts: pd.Series) -> pd.Series:
+        """Exact, so blocks and their order change nothing."""
+        return parts.map(math.fsum)
+
+    drawn = narrow.mapInPandas(blocks, f"arm {changes.schema[arm].dataType.simpleString()}, b int, s double, rest double, w double")
+    sums = drawn.groupBy(F.col("arm").alias(arm), "b").agg(F.flatten(F.collect_list(F.array("s", "rest"))).alias("s"), F.sum("w").alias("w"))  # two numbers a block
+    means = sums.select(arm, "b", F.try_divide(total("s"), "w").alias("m"))
     ends = means.groupBy(arm).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     out = rows.groupBy(arm).agg(F.count("*").alias("n"), F.avg(change).alias("mean_change")).join(ends, arm)
     return out.select(arm, "n", "mean_change", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), ((F.exp("mean_change") - 1) * 100).alias("percent"))

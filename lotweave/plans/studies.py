@@ -233,10 +233,15 @@ def _rewritten(spark: SparkSession, folder: str) -> DataFrame:
     listings = table(spark, folder, "listings").where("description is not null and latitude is not null and longitude is not null")
     known = listings.where("price > 0").select("listing_id", F.ln("price").alias("y"), "latitude", "longitude", cf.text_vector(F.col("description")).alias("v"))
     fit = cf.text_direction(scratch.cut(known), "v", "y", ["latitude", "longitude"], "listing_id")
-    arms = scratch.cut(cf.rewrites(listings, "listing_id", "description", F.coalesce("city_name", F.lit("the city"))).select("listing_id", "arm", "rewrite", "passed"))
+    own = listings.withColumn("own", cf.text_part(cf.text_vector(F.col("description")), fit))
+    arms = cf.rewrites(own, "listing_id", "description", F.coalesce("city_name", F.lit("the city")), keep=("description", "own"))
+    same = F.col("rewrite").eqNullSafe(F.col("description"))
+    # texts stay where they are: only what a rewrite adds to the prediction is written; an unchanged text has its own
+    effect = F.when(same, F.col("own")).otherwise(cf.text_part(F.col("v"), fit))
+    arms = scratch.cut(arms.withColumn("v", cf.text_vector(F.when(~same, F.col("rewrite")))).select("listing_id", "arm", "passed", effect.alias("effect")))
     places = listings.groupBy("listing_id").agg(F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
-    texts = Scratch(spark).cut(arms.join(places, "listing_id").withColumn("v", cf.text_vector(F.col("rewrite"))))
-    return cf.scored(texts, "v", ["latitude", "longitude"], fit).select("listing_id", "arm", "passed", "baseline", "predicted")
+    rows = arms.join(places, "listing_id").withColumn("baseline", cf.confounded_part(["latitude", "longitude"], fit))
+    return rows.select("listing_id", "arm", "passed", "baseline", (F.col("baseline") + F.col("effect")).alias("predicted"))
 
 
 @query()

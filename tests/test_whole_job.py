@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lotweave.functions import text as tx
 from lotweave.operators import audit as au
 from lotweave.operators import counterfactual as cf
+from lotweave.operators import draws as dr
 from lotweave.operators import estimate as es
 from lotweave.operators import learners as le
 from lotweave.plans import reference
@@ -143,3 +144,21 @@ def test_text_vectors_are_signed_sums_of_hashed_words(spark):
         for h in r["h"] or []:
             v[h % 8] += -1.0 if h % 3 == 0 else 1.0
         assert r["v"] == (v / (np.linalg.norm(v) or 1)).tolist()
+
+
+def test_draws_are_those_of_the_hash(spark):
+    """Weights drawn in blocks are poisson_weight()'s, for keys of all lengths; and no row is repeated for each resample."""
+    keys = [None, "", "7", "5000000012", "é日本", *["k" * n for n in range(40, 70)], "long" * 40]
+    rows = [(k, b) for k in keys for b in (1, 9, 10, 101)]
+    df = spark.createDataFrame(rows, "k string, b int").select("k", "b", es.poisson_weight(F.col("k"), F.col("b")).alias("w"))
+    want = {(r["k"], r["b"]): r["w"] for r in df.collect()}
+    drawn = list(dr.poisson_weights(keys, 101))
+    assert all(drawn[b - 1][i] == want[k, b] for i, k in enumerate(keys) for b in (1, 9, 10, 101))
+    changes = spark.createDataFrame([(i % 50, "ab"[i % 2], float(i % 7) if i % 5 else None) for i in range(200)] + [(None, "a", 1.0), (1, None, 2.0)], "k long, arm string, c double")
+    out = cf.arm_effects(changes, "arm", "k", "c", 30)
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    weights = changes.where("c is not null and arm is not null").crossJoin(spark.range(1, 31).toDF("b")).withColumn("w", es.poisson_weight(F.col("k"), F.col("b")))
+    means = weights.groupBy("arm", "b").agg((F.sum(F.col("c") * F.col("w")) / F.sum("w")).alias("m"))
+    want = {r["arm"]: r["q"] for r in means.groupBy("arm").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).collect()}
+    got = {r["arm"]: [r["low"], r["high"]] for r in out.collect()}
+    assert set(got) == {"a", "b"} and all(got[a] == pytest.approx(want[a]) for a in got)
